@@ -22,6 +22,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return flag(_documents(spark, sf_dir).select("doc_id", "text"), _benchmark(spark, sf_dir)).drop("text")
 
 
+def op3_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_pieces import encode, read_model
+
+    rows = encode(_documents(spark, sf_dir), read_model(spark))
+    return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -43,6 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
