@@ -2,8 +2,10 @@
 
 The model's protobuf is read field by field (its wire format is public); normaliser, blank marker,
 scores or merges, and byte fallback are rebuilt as a ``tokenizers.Tokenizer``.  Texts are encoded in
-batches with all threads a task has.  ``parity`` says for each text whether the sentencepiece
-library itself gives the same ids; the rebuilt tokenizer is checked that way, not trusted.
+batches with all threads a task has.  Where no piece of the model goes on past a blank (checked when
+it is read), a text's ids are those of its words in turn, so each distinct word is encoded once and
+kept in a bounded cache.  ``parity`` says for each text whether the sentencepiece library itself gives
+the same ids, for all its words or for the whole text; the rebuilt tokenizer is checked, not trusted.
 
 A model is one small file; its bytes, at most ``MODEL_BYTES``, are broadcast to the tasks.
 """
@@ -14,6 +16,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import pieces, texts_of
+from ._text import Words, pieces, texts_of
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
@@ -123,12 +126,101 @@ def build_tokenizer(model: PieceModel):
     return out
 
 
-@lru_cache(maxsize=2)
-def _codec(data: bytes):
-    import sentencepiece
+def _blank_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The pieces of texts from one run of blanks to the next, without the blank that the marker stands for."""
+    blank = data == 0x20
+    begins = blank.copy()
+    begins[1:] &= ~blank[:-1]
+    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[firsts] = True
+    start = np.flatnonzero(begins)
+    first = np.zeros(len(data), bool)
+    first[firsts] = True
+    return Words(data, start + ~first[start], np.concatenate([start[1:], np.full(min(1, len(start)), len(data))]), np.searchsorted(start, offsets))
+
+
+class Codec:
+    """A model's tokenizer beside the sentencepiece library, with the words encoded so far."""
+
+    CACHED = 1 << 20
+
+    def __init__(self, data: bytes) -> None:
+        import sentencepiece
+
+        self.model = parse_model(data)
+        self.tokenizer = build_tokenizer(self.model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.by_word = self.tokenizer.pre_tokenizer is not None and not self.model.squeeze and not self.model.charsmap and self.model.dummy_prefix
+        self.words = build_tokenizer(self.model)
+        self.words.normalizer = self.words.pre_tokenizer = None
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
+        self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.piece_ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}  # a word's hash -> its place in the next three
+        self.pool, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.same = np.zeros(0, bool)
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        found = [x.ids for x in self.words.encode_batch_fast([MARK + w.replace(" ", MARK) for w in words], add_special_tokens=False)]
+        # the library gives no ids for no text, where the words before it have put a blank
+        same = [a == b or not w for w, a, b in zip(words, found, self.library.encode(words, num_threads=1), strict=True)]
+        self.known.update(zip(hashes, range(len(self.size), len(self.size) + len(words)), strict=True))
+        size = np.array([len(x) for x in found], np.int64)
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(size) - size])
+        self.size, self.same = np.concatenate([self.size, size]), np.concatenate([self.same, np.array(same, bool)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32)])
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether the library gives the same."""
+        if not self.by_word:
+            ids = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return ids, [a.tolist() == b for a, b in zip(ids, self.library.encode(texts, num_threads=1), strict=True)]
+        raw = [t.encode() for t in texts]
+        words = _blank_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        distinct, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > self.CACHED:
+            self._forget()
+        hashes = distinct.tolist()
+        if new := [k for k, h in enumerate(hashes) if h not in self.known]:
+            data, spans = words.data.tobytes(), zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)
+            self._learn([hashes[k] for k in new], [data[a:b].decode() for a, b in spans])
+        place = np.array([self.known[h] for h in hashes], np.int64)[which]
+        size = self.size[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.pool[np.repeat(self.begin[place] - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[words.first]
+        ids = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        wrong = np.concatenate([[0], np.cumsum(~self.same[place])])[words.first]
+        same = (np.diff(wrong) == 0).tolist()
+        for k, text in enumerate(texts):
+            if MARK in text:  # the marker itself in a text counts as a blank: told apart only in the whole text
+                ids[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+                same[k] = ids[k].tolist() == self.library.encode(text)
+        return ids, same
 
-    model = parse_model(data)
-    return model, build_tokenizer(model), sentencepiece.SentencePieceProcessor(model_proto=data)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of some ids: the bytes of their pieces in turn; sequences that aren't UTF-8 are left to the tokenizer."""
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        size, begin = np.diff(self.piece_ends)[flat], self.piece_ends[:-1][flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.piece_bytes[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in ids])])].tolist()
+        out = []
+        for k, x in enumerate(ids):
+            try:
+                text = data[cuts[k] : cuts[k + 1]].decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.tokenizer.decode(x.tolist(), skip_special_tokens=False))
+        return out
+
+
+@lru_cache(maxsize=2)
+def codec(data: bytes) -> Codec:
+    return Codec(data)
 
 
 def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
@@ -139,31 +231,43 @@ def read_model(spark: SparkSession, path: str = DEFAULT_MODEL) -> bytes:
     return data
 
 
-def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id", check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id") -> DataFrame:
     """(key, n_tokens long, ids array<int>, decoded string, parity boolean), one row per row of ``docs``.
 
     ``decoded`` is the text that the ids give back; ``parity`` whether the sentencepiece library gives
-    the same ids (null without ``check``).  A null text gives no ids and a null ``decoded``; an
-    empty one gives no ids and an empty one.  Other columns of ``docs`` are not looked at.
+    the same ids.  A null text gives no ids and a null ``decoded``; an empty one gives no ids and an
+    empty one.  Other columns of ``docs`` are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tokenizer, library = _codec(sent.value)
+        own = codec(sent.value)
         for batch in batches:
             column = batch.column("text")
             data, offsets = texts_of(column)
-            for k, j, _, _ in pieces(data, offsets, 1 << 20):
+            for k, j, _, _ in pieces(data, offsets, 2 << 20):
                 part = column.slice(k, j - k)
-                texts = pc.fill_null(part, "").to_pylist()
-                ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [a == b for a, b in zip(ids, library.encode(texts, num_threads=1), strict=True)] if check else [None] * len(ids)
-                count = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in ids)])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
+                ids, same = own.encode(pc.fill_null(part, "").to_pylist())
+                decoded = own.decode(ids)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 missing = part.is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, j - k), pa.array(count), lists, pa.array(decoded, pa.string(), mask=missing), pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids", "decoded", "parity"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, j - k), pa.array(np.diff(ends)), lists, pa.array(decoded, pa.string(), mask=missing), pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids", "decoded", "parity"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded string, parity boolean")
+
+
+def decode(rows: DataFrame, model: bytes, *, ids: str = "ids", key: str = "doc_id") -> DataFrame:
+    """(key, text): the texts that arrays of ids give; null for a null array."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(sent.value)
+        for batch in batches:
+            lists = batch.column("ids").to_pylist()
+            texts = own.decode([np.array(x or [], np.int32) for x in lists])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], names=[key, "text"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key), F.col(ids).alias("ids")).mapInArrow(run, f"`{key}` {kind}, text string")
