@@ -168,18 +168,22 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def flush(table: pa.Table) -> pa.RecordBatch:
         block = np.stack([table.column(c).to_numpy() for c in ("bucket", "slice", "chunk")])
-        outlier, doc, label, size = (table.column(c).to_numpy() for c in ("outlier", "doc", "label", "n"))
+        outlier, doc, label, top, size = (table.column(c).to_numpy() for c in ("outlier", "doc", "label", "top", "n"))
         sketch = _bytes(table.column("sketch"))
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0).any(0), [True]]))
         found = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             cut = lo + int(outlier[lo:hi].sum())
+            band = int(np.argmax(bands[lo] == block[0, lo]))
             for o in range(lo, cut):
                 near = np.minimum(size[o], size[cut:hi]) * 100 >= NUMERATOR * np.maximum(size[o], size[cut:hi])
                 at = cut + np.flatnonzero(near & (label[cut:hi] != label[o]))
                 at = at[(sketch[at] == sketch[o]).mean(1) >= LEAST_AGREED] if len(at) else at
+                # each pair once: in the first bucket it shares, from its smaller end if both are outliers
+                at = at[~(bands[at, :band] == bands[o, :band]).any(1) & ((label[at] == top[at]) | (doc[o] < doc[at]))] if len(at) else at
                 found.append(np.stack([np.minimum(doc[at], doc[o]), np.maximum(doc[at], doc[o])]))
-        pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
 
     for batch in batches:
@@ -214,10 +218,10 @@ def cross_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame) -> Da
     here = lambda n, seed: F.array(F.pmod(F.xxhash64("doc", F.lit(seed)), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     roles = F.array(F.struct(F.lit(0).alias("outlier"), every("slices").alias("s"), here(F.col("chunks"), 1).alias("c")), F.struct(F.lit(1).alias("outlier"), here(F.col("slices"), 2).alias("s"), every("chunks").alias("c")))
-    rows = rows.select("bucket", "doc", "label", "n", "sketch", F.explode(F.filter(roles, lambda r: (r["outlier"] == 0) | (F.col("label") != F.col("top")))).alias("r"))
-    rows = rows.withColumn("slice", F.explode("r.s")).withColumn("chunk", F.explode("r.c")).select("bucket", "slice", "chunk", F.col("r.outlier").alias("outlier"), "doc", "label", "n", "sketch")
+    rows = rows.select("bucket", "doc", "label", "top", "n", "sketch", "bands", F.explode(F.filter(roles, lambda r: (r["outlier"] == 0) | (F.col("label") != F.col("top")))).alias("r"))
+    rows = rows.withColumn("slice", F.explode("r.s")).withColumn("chunk", F.explode("r.c")).select("bucket", "slice", "chunk", F.col("r.outlier").alias("outlier"), "doc", "label", "top", "n", "sketch", "bands")
     rows = rows.repartition("bucket", "slice", "chunk").sortWithinPartitions("bucket", "slice", "chunk", F.desc("outlier"))
-    return rows.mapInArrow(_block_batches, "a long, b long").distinct()
+    return rows.mapInArrow(_block_batches, "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -267,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("first")
     classes = stored(some.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), first).select("class_a", "class_b", "rep", "first.bands", "first.sketch", F.col("first.n_shingles").alias("n")), "classes")
-    sketches = classes.select(F.col("rep").alias("doc"), "n", "sketch")
+    sketches = classes.select(F.col("rep").alias("doc"), "n", "sketch", "bands")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
     shared = members.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader <> last").drop("last")
     members = stored(members.join(shared, "bucket"), "buckets")
