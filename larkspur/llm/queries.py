@@ -48,12 +48,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, bitmaps(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
