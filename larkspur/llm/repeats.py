@@ -6,7 +6,9 @@ share what they count, an estimate is never below the truth.  To keep the sketch
 instead of windows: the gram of ``gram`` words with the least hash in a window.  Equal windows have equal
 anchors at the same offset, so a window repeats no more often than its anchor.  The second pass
 groups exactly, by 128 bits of hash, the windows whose anchor is estimated to occur twice or more; none
-that repeats is lost, and those that don't are few while the sketch isn't full.
+that repeats is lost, and those that don't are few while the sketch isn't full.  The windows of one anchor
+travel together, as do their answers.  Windows that a task finds twice itself are answered there and sent
+once, so of a passage that a third of all documents hold a piece of input sends one copy.
 
 Only the sketch's "twice or more" bits are broadcast, at most 2 rows of ``MOST_COUNTERS`` bits; a corpus
 beyond what these tell apart sends more windows to the exact grouping and gives the same result.
@@ -22,10 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sql import text_of
-from ._store import stored
 from ._text import U, Words, mix, pieces, seeded, texts_of, window_hashes, words_of
 
-WINDOW, GRAM = 35, 24
+WINDOW, GRAM = 35, 24  # a mask has a bit for each place of a gram in a window: at most 31
 LEAST_COUNTERS, MOST_COUNTERS, SLICE = 1 << 20, 1 << 29, 1 << 20
 _SEEDS = (seeded(31), seeded(32))
 
@@ -100,8 +101,31 @@ def _test(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _binary(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """64-bit values as a binary column of so many values a row."""
+    ends = np.concatenate([[0], np.cumsum(8 * sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
+
+def _found_twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair (a, b), whether it is there twice or more, and whether it is the first of its like."""
+    order = np.lexsort((b, a))
+    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    twice, first = np.zeros(len(a), bool), np.ones(len(a), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    first[order[1:][same]] = False
+    return twice, first
+
+
+_RUNS = "gram long, doc_id long, text_hash long, pos int, mask int, windows binary"
+
+
 def likely_windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(a, b, doc_id, text_hash, pos) of the windows estimated to occur twice or more."""
+    """Runs of windows with one anchor that is estimated to occur twice or more.
+
+    ``pos`` is the run's first window, ``mask`` has a bit for each that the task has found twice itself,
+    ``windows`` their hashes; it is empty, and ``gram`` any value, where no other task needs to see them.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,15 +140,56 @@ def likely_windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], *, wind
                 likely = np.ones(len(starts), bool)
                 for row, slots in zip(rows, _slots(grams[anchor], 8 * len(rows[0])), strict=True):
                     likely &= _test(row, slots)
-                at = starts[likely]
+                at, anchor = starts[likely], anchor[likely]
                 if not len(at):
                     continue
-                text = np.searchsorted(words.first, at, side="right") - 1
-                a, b = (window_hashes(words.hashes(seed), window)[at].view(np.int64) for seed in (11, 12))
+                hashes = window_hashes(words.hashes(11), window)[at]
+                twice, first = _found_twice(grams[anchor], hashes)
+                edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                size = np.diff(np.concatenate([edges, [len(at)]]))
+                mask = np.bitwise_or.reduceat(twice.astype(np.int32) << (at - np.repeat(at[edges], size)).astype(np.int32), edges)
+                send = np.logical_or.reduceat(~twice | first, edges)
+                key = np.where(send, grams[anchor[edges]], mix(at[edges].astype(U))).view(np.int64)
+                text = np.searchsorted(words.first, at[edges], side="right") - 1
                 which = pa.array(k + text)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), ids.take(which), keys.take(which), pa.array((at - words.first[text]).astype(np.int32))], names=["a", "b", "doc_id", "text_hash", "pos"])
-
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "a long, b long, doc_id long, text_hash long, pos int")
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(which), keys.take(which), pa.array((at[edges] - words.first[text]).astype(np.int32)), pa.array(mask), _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))], names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
+
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _RUNS)
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The masks of runs, sorted by gram, with the windows that other runs hold as well."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        gram, mask, windows = (table.column(c).combine_chunks() for c in ("gram", "mask", "windows"))
+        raw = windows.to_pylist()
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        hashes = np.frombuffer(b"".join(raw), U)
+        twice, _ = _found_twice(np.repeat(gram.to_numpy(), size), hashes)
+        bit = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+        found = mask.to_numpy().copy()
+        np.bitwise_or.at(found, np.repeat(np.arange(len(size)), size)[twice], (1 << bit[twice]).astype(np.int32))
+        some = np.flatnonzero(found)
+        starts = (table.column("pos").to_numpy()[some].astype(np.int64) << 32) | found[some]
+        which = pa.array(some)
+        return pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(which) for c in ("doc_id", "text_hash")] + [pa.array(starts)], names=["doc_id", "text_hash", "starts"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        gram = batch.column("gram").to_numpy()
+        other = np.flatnonzero(gram != gram[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0  # the last gram may go on in the next batch
+        if held and (cut or held[-1].column("gram")[-1].as_py() != gram[0]):
+            yield flush([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield flush([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield flush(held)
 
 
 def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -137,10 +202,9 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(total / 8).bit_length()))
-    likely = likely_windows(docs, sketch(docs, counters, window=window, gram=gram), window=window, gram=gram)
-    likely = stored(likely, "windows")
-    repeated = likely.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    covered = likely.join(repeated, ["a", "b"]).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("starts"))
+    runs = likely_windows(docs, sketch(docs, counters, window=window, gram=gram), window=window, gram=gram)
+    answers = runs.repartition("gram").sortWithinPartitions("gram").mapInArrow(_answer, "doc_id long, text_hash long, starts long")
+    covered = answers.groupBy("doc_id", "text_hash").agg(F.collect_set("starts").alias("starts"))
     covered = covered.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "starts")
     both = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
 
@@ -153,7 +217,9 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
                 begin = np.zeros(len(words.start) + 1, np.int32)
                 part = lists.slice(k, j - k)
                 size = np.array([len(x) if x.is_valid else 0 for x in part], np.int64)
-                at = np.repeat(words.first[:-1], size) + part.flatten().to_numpy(zero_copy_only=False)
+                packed = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                base, mask = np.repeat(words.first[:-1], size) + (packed >> 32), packed & 0xFFFFFFFF
+                at = np.concatenate([base[mask >> bit & 1 == 1] + bit for bit in range(window - gram + 1)])
                 np.add.at(begin, at, 1)
                 np.add.at(begin, np.minimum(at + window, len(words.start)), -1)
                 gone = np.cumsum(begin)[:-1] > 0
