@@ -29,6 +29,12 @@ def op3_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFra
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "parity")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score_texts
+
+    return score_texts(_documents(spark, sf_dir))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
@@ -69,6 +75,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
