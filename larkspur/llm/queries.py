@@ -16,6 +16,13 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import pseudonymize
+
+    # a fixed key makes the query's result repeatable; a user passes a secret one
+    return pseudonymize(_documents(spark, sf_dir), b"larkspur example key")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import flag
 
@@ -73,6 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sentencepiece_encode_decode": op3_sentencepiece_encode_decode,
     "op4_lm_scoring": op4_lm_scoring,
