@@ -142,7 +142,7 @@ def _blank_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 class Codec:
     """A model's tokenizer beside the sentencepiece library, with the words encoded so far."""
 
-    CACHED = 1 << 20
+    CACHED = 1 << 19
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
@@ -156,9 +156,9 @@ class Codec:
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.piece_ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[int, int] = {}  # a word's hash -> its place in the next three
         self.pool, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.same = np.zeros(0, bool)
@@ -182,7 +182,7 @@ class Codec:
         words = _blank_words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
         distinct, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         if len(self.known) > self.CACHED:
-            self._forget()
+            self.forget()
         hashes = distinct.tolist()
         if new := [k for k, h in enumerate(hashes) if h not in self.known]:
             data, spans = words.data.tobytes(), zip(words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True)
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             column = batch.column("text")
             data, offsets = texts_of(column)
-            for k, j, _, _ in pieces(data, offsets, 2 << 20):
+            for k, j, _, _ in pieces(data, offsets, 1 << 20):
                 part = column.slice(k, j - k)
                 ids, same = own.encode(pc.fill_null(part, "").to_pylist())
                 decoded = own.decode(ids)
@@ -253,6 +253,8 @@ def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 missing = part.is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, j - k), pa.array(np.diff(ends)), lists, pa.array(decoded, pa.string(), mask=missing), pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids", "decoded", "parity"])
+        own.forget()  # Spark keeps the worker for other tasks
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded string, parity boolean")
