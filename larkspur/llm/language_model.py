@@ -62,9 +62,11 @@ class _Block:
         return self.token, join_hashes(self.context, self.token)
 
 
-def _part(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where sorted hashes cross from one part of the hash space into the next."""
-    return np.searchsorted(hashes, (np.arange(1, 1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(0, U))
+def _parts(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """The parts of the hash space that sorted hashes fall in: number of the part, first hash, end."""
+    part = hashes >> U(64 - bits)
+    cut = np.flatnonzero(np.diff(part, prepend=part[:1] + U(1), append=part[-1:] + U(1))).tolist()
+    yield from ((int(part[a]), a, b) for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
 def _counted(blocks: DataFrame, bits: int) -> DataFrame:
@@ -74,12 +76,10 @@ def _counted(blocks: DataFrame, bits: int) -> DataFrame:
         rows: dict[str, list] = {"part": [], "block": [], "kind": [], "hashes": [], "counts": []}
         for order, grams in enumerate(_Block.of(table.column("text")).grams()):
             distinct, times = np.unique(grams, return_counts=True)
-            cut = [0, *_part(distinct, bits).tolist(), len(distinct)]
-            for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if a < b:
-                    values = ((order << bits) + k, key[0].as_py(), key[0].as_py() % 3, distinct[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes())
-                    for c, v in zip(rows.values(), values, strict=True):
-                        c.append(v)
+            for k, a, b in _parts(distinct, bits):
+                values = ((order << bits) + k, key[0].as_py(), key[0].as_py() % 3, distinct[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes())
+                for c, v in zip(rows.values(), values, strict=True):
+                    c.append(v)
         return pa.table({"part": pa.array(rows["part"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "kind": pa.array(rows["kind"], pa.int64()), "hashes": pa.array(rows["hashes"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
 
     return blocks.groupBy("block").applyInArrow(count, "part long, block long, kind long, hashes binary, counts binary")
@@ -170,7 +170,9 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held: int = 2, settings: Set
     blocks = spark.table(name)
 
     bits = int(n).bit_length()
-    answers = stored(_counted(blocks, bits).groupBy("part").applyInArrow(_added, "part long, block long, trained binary, kept binary"), "counts")
+    # partitions grow with the parts, whatever the session's number is: a task holds about four parts at any size
+    counted = _counted(blocks, bits).repartition(max(1, (2 << bits) // 4), "part")
+    answers = stored(counted.groupBy("part").applyInArrow(_added, "part long, block long, trained binary, kept binary"), "counts")
     words = [np.frombuffer(r["trained"], np.uint64).astype(int) for r in answers.where(f"block = -1 and part < {1 << bits}").select("trained").collect()]
     n_all, v_all, n_kept, v_kept = (int(sum(w[k] for w in words)) for k in range(4))
 
