@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import basics, relational, scalars, streams  # noqa: F401
+from larkspur.plans import basics, measures, relational, scalars, streams  # noqa: F401
 from larkspur.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
