@@ -7,7 +7,9 @@ length, separators and check digits (Luhn, ISO 7064), addresses keep their netwo
 letter classes, case, script and a gendered ending.
 
 Distinctness is checked, not assumed: the distinct entities of the corpus are grouped by surrogate, and
-all but one of those that collide, and any that hit a real entity, try again until none does.
+all but one of those that collide, and any that hit a real entity, try again until none does.  A format
+with few values may have no free one, so from attempt NARROW on surrogates are longer (an IP address moves
+to a larger block), twice as much with each attempt: the draw ends whatever the corpus holds.
 Surrogates of the first attempt need no table; only the few entities beyond it are joined to documents.
 """
 
@@ -15,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from ._sql import text_of
 from ._store import stored
 
-ATTEMPTS = 40
+NARROW = 4  # attempts that keep the format's length
 _UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _NAME = rf"[{_UPPER}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 # Forms of address by the gender they tell.
@@ -45,6 +49,8 @@ _HINT = re.compile(rf"@|\d|(?i:token|password|passwd|pwd|secret|key)|{'|'.join((
 # Letters of a class are replaced within it.
 _LETTERS = ("aeiou", "bcdfghjklmnprstvwz", "àáâäèéêëìíîïòóôöùúûü", "ñçß", "аеиоуыэюя", "бвгдзклмнпрстфх", "αεηιου", "βγδζκλμνπρστ")
 _CLASS = {c: letters for letters in _LETTERS for c in letters}
+# Vowels and consonants that endings are taken from, by script.
+_ENDINGS = (("[\u0400-\u04ff]", "аяиу", "влнрт"), ("[\u0370-\u03ff]", "αηου", "νρς"), ("", "aeiou", "lnrst"))
 
 Entity = tuple[str, str]
 
@@ -67,14 +73,24 @@ class _Stream:
         return "".join(str(self.below(10)) for _ in range(n))
 
     def shaped(self, text: str) -> str:
-        """Other letters and digits of the same classes and cases."""
+        """Other letters and digits of the same classes and cases; a letter without a class becomes a consonant."""
         out = []
         for c in text:
             low = c.lower()
-            new = str(self.below(10)) if c.isdigit() else (letters := _CLASS.get(low, "")) and letters[self.below(len(letters))] or ("bcdfghjklmnprstvwz"[self.below(18)] if "a" <= low <= "z" else c)
+            letters = "0123456789" if c.isnumeric() else _CLASS.get(low) or _CLASS.get(unicodedata.normalize("NFD", low)[0]) or (_CLASS[_endings(low)[1][0]] if c.isalpha() else c)
+            new = letters[self.below(len(letters))] if len(letters) > 1 else c
             out.append(new.upper() if c != low and len(new.upper()) == 1 else new)
         return "".join(out)
 
+    def more(self, value: str, n: int) -> str:
+        """``n`` letters of the value's script, in turns a vowel and a consonant."""
+        return self.shaped("".join(x[0] for x in _endings(value)) * (n // 2 + 1))[:n]
+
+
+def _endings(value: str) -> tuple[str, str]:
+    """Vowels and consonants of the value's script."""
+    return next((v, c) for script, v, c in _ENDINGS if re.search(script, value))
+
 
 def _luhn(digits: str) -> bool:
     return sum(d if k % 2 == 0 else d // 5 + 2 * d % 10 for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
@@ -87,32 +103,37 @@ def _iban_check(country: str, rest: str) -> str:
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """Another canonical value of the kind."""
-    s = _Stream(key, kind, value, attempt)
+    s, longer = _Stream(key, kind, value, attempt), 1 << attempt - NARROW if attempt >= NARROW else 0
     if kind == "email":
         user, host = value.rsplit("@", 1)
         name, dot, top = host.rpartition(".")
-        return f"{s.shaped(user)}@{s.shaped(name)}{dot}{top}"
+        return f"{s.shaped(user)}{s.more(top, longer)}@{s.shaped(name)}{dot}{top}"
     if kind == "ip":
         a, b, c, d = value.split(".")
         fixed = 1 if a in ("10", "127") else 2 if (a, b) == ("192", "168") or a == "172" and 16 <= int(b) < 32 else 0
-        return ".".join([a, b, c, d][:fixed] + [str(1 + s.below(223 if k == 0 else 254)) for k in range(fixed, 4)])
+        if longer > 1 or longer and not fixed:  # IPv6: unique local, or the block of documentation
+            start = ["fd%02x" % s.below(256)] if fixed else ["2001", "db8"]
+            return ":".join([*start, *(f"{1 + s.below(0xFFFF):x}" for _ in range(8 - len(start)))])
+        kept = ["10"] if longer else [a, b, c, d][:fixed]
+        return ".".join(kept + [str(1 + s.below(223 if k == 0 else 254)) for k in range(len(kept), 4)])
     if kind == "iban":
-        rest = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in value[4:])
+        rest = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in value[4:]) + s.digits(longer)
         return value[:2] + _iban_check(value[:2], rest) + rest
     if kind == "card":
-        body = value[0] + s.digits(len(value) - 2)
+        body = value[0] + s.digits(len(value) - 2 + longer)
         last = next(d for d in "0123456789" if _luhn(body + d))
         return body + (last if _luhn(value) else str((int(last) + 1 + s.below(9)) % 10))
     if kind == "phone":
         code = len(value) - 10 if len(value) > 10 else 0  # the country's code stays
-        return value[:code] + s.digits(len(value) - code)
+        return value[:code] + s.digits(len(value) - code + longer)
     if kind == "ssn":
-        return f"{100 + s.below(566):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+        return f"{100 + s.below(566):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}" + s.digits(longer)
     if kind == "secret":
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", value) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", value) else None
-        return "".join(digits[s.below(16)] if digits else str(s.below(10)) if c.isdigit() else chr((65 if c.isupper() else 97) + s.below(26)) if c.isascii() and c.isalpha() else c for c in value)
-    out = s.shaped(value)  # name:surname, name:f, name:m
-    vowels, consonants = next(((v, c) for v, c in (("aeiou", "lnrst"), ("аяиу", "влнрт"), ("αηου", "νρς")) if set(value) & set(v)), ("a", "n"))
+        pattern = value + ("0" if digits else "a") * longer
+        return "".join(digits[s.below(16)] if digits else str(s.below(10)) if c.isnumeric() else chr((65 if c.isupper() else 97) + s.below(26)) if c.isalpha() else c for c in pattern)
+    out = s.shaped(value) + s.more(value, longer)  # name:surname, name:f, name:m
+    vowels, consonants = _endings(value)
     if kind == "name:f":
         return out[:-1] + vowels[0]
     return out[:-1] + consonants[s.below(len(consonants))] if kind == "name:m" else out
@@ -128,14 +149,14 @@ def _laid_out(kind: str, mention: str, value: str) -> str:
     """A surrogate in the mention's own format."""
     if kind in ("phone", "card", "ssn"):
         fill = iter(value)
-        return "".join(next(fill) if c.isdigit() else c for c in mention)
+        return "".join([*(next(fill) if c.isdigit() else c for c in mention), *fill])
     if kind == "iban":
         fill = iter(value)
-        return "".join(" " if c == " " else next(fill) for c in mention)
+        return "".join([*(" " if c == " " else next(fill) for c in mention), *fill])
     if kind == "email" or kind.startswith("name"):
-        if mention.isupper():
+        if mention.isupper() and len(mention) > 1:
             return value.upper()
-        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(mention, value, strict=True)) if len(mention) == len(value) else value
+        return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip_longest(mention, value, fillvalue=""))
     return value
 
 
@@ -143,7 +164,8 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     """Begin, end and kind of the entities of a text, in order, not overlapping.
 
     A person's names count wherever they stand in a text that has them once behind a form of address:
-    the last name as ``name:surname``, those before it as ``name:f`` or ``name:m``.
+    the last name as ``name:surname``, those before it as ``name:f`` or ``name:m``.  A blank to fill in, as
+    ``Password: ________``, has nothing to replace and is no entity.
     """
     if not _HINT.search(text):
         return []
@@ -156,8 +178,9 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
                 names.setdefault(p[0], "name:surname" if k == len(parts) - 1 else "name:f" if m["title"] in _FEMALE else "name:m")
         elif kind == "secret":
             group = "secret_value" if m["secret_value"] is not None else "secret_id"
-            found.append((m.start(group), m.end(group), kind))
-        else:
+            if any(map(str.isalnum, m[group])):
+                found.append((m.start(group), m.end(group), kind))
+        elif kind != "email" or any(map(str.isalnum, m[0].rpartition(".")[0])):
             found.append((m.start(), m.end(), kind))
     if names:
         taken = iter([*found, (len(text) + 1, len(text) + 1, "")])
@@ -201,7 +224,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     family = F.split("kind", ":")[0]
     real = entities.select(family.alias("family"), F.col("value").alias("surrogate")).distinct()
     drawn = stored(entities.select("kind", "value", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates")
-    for _ in range(ATTEMPTS):
+    while True:
         marked = drawn.withColumn("family", family)
         first = marked.groupBy("family", "surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         clash = marked.join(first, ["family", "surrogate"]).where(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value", "attempt")
@@ -210,7 +233,6 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
             return drawn
         redrawn = again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(draw, schema)
         drawn = stored(drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(redrawn), "surrogates")
-    raise ValueError(f"some entities still collide after {ATTEMPTS} attempts: their format has too few values")
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:

@@ -84,6 +84,32 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     assert len({r["surrogate"] for r in surrogates.assign(dense, b"k").collect()}) == 6
 
 
+def test_formats_with_few_values_are_widened(spark):
+    assert surrogates.mentions("Password: ________ or key = ----------, to _@-.com") == []
+    given = ["Mrs A Smith", "Mr J Smith and Mr K Jones", "Госпожа Щ Ы", "password: пароль-密码密码", "Password: ________"]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymize(docs, b"key").collect()}
+    assert got[4].text == given[4] and [got[k].n_entities for k in range(5)] == [2, 4, 2, 1, 0]
+    names = {w for k in range(3) for w in got[k].text.split() if w not in ("Mrs", "Mr", "and", "Госпожа")}
+    assert len(names) == 7 and not names & {*"AJKЩЫ", "Smith", "Jones"} and not set("парольпароль密码") & set(got[3].text)
+    full = [("secret", f"{k:x}") for k in range(16)] + [("ip", f"192.168.{k // 254 + 1}.{k % 254 + 1}") for k in range(45_000)]
+    drawn = surrogates.assign(spark.createDataFrame(full, "kind string, value string"), b"k").collect()
+    assert len(drawn) == len({r.surrogate for r in drawn}) == len(full) and not {r.surrogate for r in drawn} & {v for _, v in full}
+
+
+def test_widened_surrogates_keep_kind_and_layout():
+    real = {"phone": "+1 (017) 555-7713", "card": "4111 1111 1111 1111", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "email": "Al@x.com", "secret": "abc-DEF1", "ip": "8.8.8.8", "name:m": "J", "name:f": "A"}
+    for kind, mention in real.items():
+        value = surrogates._canonical(kind, mention)
+        for attempt in range(surrogates.NARROW + 6):
+            new = surrogates.surrogate(b"k", kind, value, attempt)
+            laid = surrogates._laid_out(kind, mention, new)
+            assert kind == "ip" or len(laid) == len(mention) + (1 << attempt - surrogates.NARROW if attempt >= surrogates.NARROW else 0)
+            assert surrogates._canonical(kind, laid) == new
+            if kind == "card":
+                assert surrogates._luhn(new)
+
+
 def test_masks_hit_every_window_with_two_substitutions():
     seeds = decontaminate.Seeds()
     for k in range(seeds.substitutions + 1):
