@@ -228,6 +228,24 @@ def test_quality_rules(spark, texts):
         assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r.kept and r.base_failed)
 
 
+def test_texts_without_common_words_are_dropped(spark):
+    rows = []
+    for lang, r in quality_rules.REFERENCES.items():
+        for n in (50, 70, 88, 90, 120):
+            rows.append((lang, n, " ".join(f"verb{chr(97 + k % 26)}{chr(97 + k // 26)}r" for k in range(n)), False))
+            common = list(r.words)
+            rows.append((lang, n, " ".join(common[k // 5 % len(common)] if k % 5 == 0 else f"verb{chr(97 + k % 26)}{chr(97 + k // 26)}r" for k in range(n)), True))
+    docs = spark.createDataFrame(rows, "lang string, n int, text string, good boolean")
+    got = quality_rules.apply_rules(docs, quality_rules.Rules(class_limit=(1.0, 1.0))).collect()
+    assert len(got) == 40 and not any(r.base_failed for r in got) and [(r.lang, r.n, r.kept) for r in got if r.kept != r.good] == []
+    for lang, r in quality_rules.REFERENCES.items():
+        assert all(math.isclose(x.word_distance, r.wordless()[0], rel_tol=1e-9) for x in got if x.lang == lang and not x.good)
+    # by chance a short text has none of a reference's rare words, so no text is dropped for that alone
+    rare = {"en": quality_rules.Reference(quality_rules.REFERENCES["en"].classes, {"heretofore": 0.001})}
+    got = quality_rules.apply_rules(docs.where("lang = 'en' and n = 50"), quality_rules.Rules(class_limit=(1.0, 1.0), references=rare)).collect()
+    assert len(got) == 2 and all(r.kept for r in got)
+
+
 def test_repeats(spark, texts):
     words = {i: WORD.findall(t) for i, t in texts.items()}
     often = collections.Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
