@@ -8,21 +8,21 @@ share of agreeing coordinates is concentrated as for independent hash functions,
 ``n + bins * log(bins)`` a document and not ``n * bins``.
 
 Banding makes candidates: documents whose sketches agree in a whole band.  With 64 bands of 6
-coordinates a pair of similarity 0.75 is missed in 4 of 10^6 cases, a closer one more rarely.
-Each candidate link is confirmed on the full shingle sets.
-
-Nothing emits the pairs within a group.  Equal word sequences form a class first, and one document
-stands for it.  In a band's bucket each document is compared with the bucket's first one.  Where a
-bucket then still holds documents of several components, those outside its largest one are laid
-beside the others, sketch by sketch, in blocks of a bounded size; pairs within a component need no
-test, as a link between them changes nothing.  Only pairs whose sketches agree in ``LEAST_AGREED``
-of the coordinates or more go on to the exact test: a pair of similarity 0.75 falls below in about
-2 of 10^6 cases (4.6 standard deviations).
+coordinates a pair of similarity 0.75 is missed in 4 of 10^6 cases, a closer one more rarely.  Of
+these only pairs whose sketches agree in ``LEAST_AGREED`` of the coordinates or more are suspects: a
+pair of similarity 0.75 falls below in about 2 of 10^6 cases (4.6 standard deviations).
+
+No step returns the pairs within a group.  Equal word sequences form a class first, and one document
+stands for it.  Suspects are gathered into groups: in a band's bucket each document is laid beside
+the bucket's first one, and where documents of several groups are left in a bucket, those outside its
+largest group are laid beside the others.  Then the full shingle sets of a group meet in blocks, and each
+pair that nothing connects yet is tested exactly.  Blocks hold a bounded number of documents or shingles, and
+return the edges of a spanning forest: fewer than the rows that they read, however alike these are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ from ._text import U, join_hashes, mix, pieces, seeded, texts_of, window_hashes,
 WORDS, BANDS, ROWS, NUMERATOR = 5, 64, 6, 75
 _EMPTY = U(2**64 - 1)
 LEAST_AGREED = 0.65
-OUTLIERS, MEMBERS = 256, 4096  # rows of a block of sketches to compare, about
+SKETCHES, SHINGLES = 4096, 1 << 21  # a block has at most about twice as many, of one row at least
+SALTS = 64  # a hub's rows are dealt over so many keys
 _SKETCHES = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>, sketch binary"
 
 
@@ -135,20 +136,6 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (va, fa, _), (vb, fb, _) = (shingle_sets(*texts_of(batch.column(c))) for c in ("text_a", "text_b"))
-        linked = np.zeros(len(batch), bool)
-        for k in range(len(batch)):
-            a, b = va[fa[k] : fa[k + 1]], vb[fb[k] : fb[k + 1]]
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if len(small) and 100 * len(small) >= NUMERATOR * len(large):
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                linked[k] = 100 * both >= NUMERATOR * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], names=["a", "b", "linked"])
-
-
 def _screen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
@@ -157,81 +144,205 @@ def _screen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def screen(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose sketches agree enough to be worth an exact test."""
-    both = pairs.join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    """The ``pairs`` (a, b) whose sketches agree enough to be suspects.
+
+    Many pairs may have one ``a``: they are dealt over SALTS keys, and its sketch is sent to those in use.
+    """
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    of_a = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
+    of_b = sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("sketch_b"))
+    heads = pairs.select("a", "part").distinct().join(of_a, "a")
+    both = pairs.join(of_b, "b").join(heads, ["a", "part"])
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_screen_batches, "a long, b long")
 
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of an outlier and a member of a block; rows come sorted by block, outliers first."""
-    held: list[pa.RecordBatch] = []
+class _Sketched:
+    """Sketches of the documents of some blocks; pairs match if they may be similar enough."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.sketch = _bytes(table.column("payload").combine_chunks())
+        self.size = table.column("n").to_numpy()
+
+    def open_block(self, lo: int, hi: int) -> None:
+        pass
+
+    def matches(self, o: int, at: np.ndarray) -> np.ndarray:
+        return at[(self.sketch[at] == self.sketch[o]).mean(1) >= LEAST_AGREED]
+
+
+class _Sets:
+    """Shingle sets of the documents of some blocks; pairs match if they are similar enough."""
+
+    def __init__(self, table: pa.Table) -> None:
+        parts, size = [], []
+        for _, _, data, offsets in pieces(*texts_of(table.column("payload"))):
+            values, first, _ = shingle_sets(data, offsets)
+            parts.append(values)
+            size.append(np.diff(first))
+        self.values, self.size = np.concatenate(parts), np.concatenate(size)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+
+    def open_block(self, lo: int, hi: int) -> None:
+        """Number the block's distinct shingles."""
+        distinct, self.ids = np.unique(self.values[self.first[lo] : self.first[hi]], return_inverse=True)
+        self.mark, self.base = np.zeros(len(distinct), np.uint8), self.first[lo]
+
+    def matches(self, o: int, at: np.ndarray) -> np.ndarray:
+        own = self.ids[self.first[o] - self.base : self.first[o + 1] - self.base]
+        self.mark[own] = 1
+        size = self.size[at]
+        ends = np.cumsum(size)
+        where = np.repeat(self.first[at] - self.base - (ends - size), size) + np.arange(ends[-1])
+        both = np.add.reduceat(self.mark[self.ids[where]], ends - size, dtype=np.int64)
+        self.mark[own] = 0
+        return at[100 * both >= NUMERATOR * (len(own) + size - both)]
+
+
+def _forest(kind: type, within: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges (a, b) that join documents of different labels in a block, for matching pairs; none closes a circle.
+
+    Rows come sorted by block, outliers first.  Each outlier meets the rows after it, or, without
+    ``within``, the rows after the outliers.
+    """
 
     def flush(table: pa.Table) -> pa.RecordBatch:
-        block = np.stack([table.column(c).to_numpy() for c in ("bucket", "slice", "chunk")])
-        outlier, doc, label, top, size = (table.column(c).to_numpy() for c in ("outlier", "doc", "label", "top", "n"))
-        sketch = _bytes(table.column("sketch"))
-        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        block = np.stack([table.column(c).to_numpy() for c in _BLOCK])
+        outlier, doc, label = (table.column(c).to_numpy() for c in ("outlier", "doc", "label"))
+        held = kind(table)
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0).any(0), [True]]))
-        found = []
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            cut = lo + int(outlier[lo:hi].sum())
-            band = int(np.argmax(bands[lo] == block[0, lo]))
-            for o in range(lo, cut):
-                near = np.minimum(size[o], size[cut:hi]) * 100 >= NUMERATOR * np.maximum(size[o], size[cut:hi])
-                at = cut + np.flatnonzero(near & (label[cut:hi] != label[o]))
-                at = at[(sketch[at] == sketch[o]).mean(1) >= LEAST_AGREED] if len(at) else at
-                # each pair once: in the first bucket it shares, from its smaller end if both are outliers
-                at = at[~(bands[at, :band] == bands[o, :band]).any(1) & ((label[at] == top[at]) | (doc[o] < doc[at]))] if len(at) else at
-                found.append(np.stack([np.minimum(doc[at], doc[o]), np.maximum(doc[at], doc[o])]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0].astype(np.int64)), pa.array(pairs[1].astype(np.int64))], names=["a", "b"])
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        # a block may go on in the next batch: its rows wait
-        ids = [batch.column(c).to_numpy() for c in ("bucket", "slice", "chunk")]
-        last = np.flatnonzero(np.any([x != x[-1] for x in ids], 0))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if held and (cut or any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("bucket", "slice", "chunk"))):
-            held.append(batch.slice(0, cut))
+        found: list[tuple[int, int]] = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = label[lo:hi].copy()
+            if (own == own[0]).all():
+                continue
+            held.open_block(lo, hi)
+            size, cut = held.size[lo:hi], int(outlier[lo:hi].sum())
+            for o in range(cut):
+                begin = o + 1 if within else cut
+                least, most = np.minimum(size[begin:], size[o]), np.maximum(size[begin:], size[o])
+                at = begin + np.flatnonzero((own[begin:] != own[o]) & (100 * least >= NUMERATOR * most) & (least > 0))
+                if not len(at):
+                    continue
+                at = held.matches(lo + o, lo + at) - lo
+                labels, first = np.unique(own[at], return_index=True)
+                found += [(int(doc[lo + o]), int(doc[lo + x])) for x in at[first]]
+                own[np.isin(own, labels)] = own[o]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # a block may go on in the next batch: its rows wait
+            ids = [batch.column(c).to_numpy() for c in _BLOCK]
+            last = np.flatnonzero(np.any([x != x[-1] for x in ids], 0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            goes_on = held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in _BLOCK)
+            if held and not (goes_on and not cut):
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
             yield flush(pa.Table.from_batches(held))
-            held = []
-        elif cut:
-            yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
-        held.append(batch.slice(cut))
-    if held:
-        yield flush(pa.Table.from_batches(held))
+
+    return run
 
 
-def cross_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of likely similar documents that share a bucket of ``members`` but, by ``found``, no component.
+_BLOCK = ("grp", "slice", "chunk")
 
-    A bucket's documents outside its largest component (outliers) are dealt into slices and all its
-    documents into chunks; each slice meets each chunk in a block of about OUTLIERS and MEMBERS rows.
+
+def _in_blocks(rows: DataFrame, kind: type, *, within: bool) -> DataFrame:
+    """_forest over ``rows`` with the columns of _BLOCK, outlier, doc, label, n and payload."""
+    columns = (*_BLOCK, "outlier", "doc", "label", "n", "payload")
+    dealt = rows.select(*columns).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, F.desc("outlier"), "doc")
+    return dealt.mapInArrow(_forest(kind, within), "a long, b long")
+
+
+def across(named: DataFrame, payload: DataFrame, kind: type, most: int) -> DataFrame:
+    """Edges between the labels of each group of ``named`` (grp, doc, label, w), tested on ``payload`` (doc, n, payload).
+
+    A group's documents outside its largest label (outliers) are dealt into slices and all its documents into
+    chunks, each of a weight ``w`` up to about ``most``; each slice meets each chunk in a block.
     """
-    named = members.select("bucket", "doc").join(found.withColumnRenamed("doc_id", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("label"))
-    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.count("*").alias("labels")).where("labels > 1")
-    slices, chunks = F.ceil((F.col("all") - F.col("top.k")) / OUTLIERS), F.ceil(F.col("all") / MEMBERS)
-    rows = named.join(sizes.select("bucket", F.col("top.label").alias("top"), slices.cast("int").alias("slices"), chunks.cast("int").alias("chunks")), "bucket")
-    rows = rows.join(sketches, "doc")
+    by_label = named.groupBy("grp", "label").agg(F.sum("w").alias("w"))
+    sizes = by_label.groupBy("grp").agg(
+        F.max(F.struct("w", "label")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("labels")
+    )
+    mixed = stored(
+        sizes.where("labels > 1").select(
+            "grp",
+            F.col("top.label").alias("top"),
+            F.ceil((F.col("all") - F.col("top.w")) / most).cast("int").alias("slices"),
+            F.ceil(F.col("all") / most).cast("int").alias("chunks"),
+        ),
+        "mixed",
+    )
+    if mixed.isEmpty():
+        return named.sparkSession.createDataFrame([], "a long, b long")
+    rows = named.join(mixed, "grp").join(payload, "doc")
     here = lambda n, seed: F.array(F.pmod(F.xxhash64("doc", F.lit(seed)), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    roles = F.array(F.struct(F.lit(0).alias("outlier"), every("slices").alias("s"), here(F.col("chunks"), 1).alias("c")), F.struct(F.lit(1).alias("outlier"), here(F.col("slices"), 2).alias("s"), every("chunks").alias("c")))
-    rows = rows.select("bucket", "doc", "label", "top", "n", "sketch", "bands", F.explode(F.filter(roles, lambda r: (r["outlier"] == 0) | (F.col("label") != F.col("top")))).alias("r"))
-    rows = rows.withColumn("slice", F.explode("r.s")).withColumn("chunk", F.explode("r.c")).select("bucket", "slice", "chunk", F.col("r.outlier").alias("outlier"), "doc", "label", "top", "n", "sketch", "bands")
-    rows = rows.repartition("bucket", "slice", "chunk").sortWithinPartitions("bucket", "slice", "chunk", F.desc("outlier"))
-    return rows.mapInArrow(_block_batches, "a long, b long")
+    member = F.struct(F.lit(0).alias("outlier"), every("slices").alias("s"), here(F.col("chunks"), 1).alias("c"))
+    outlier = F.struct(F.lit(1).alias("outlier"), here(F.col("slices"), 2).alias("s"), every("chunks").alias("c"))
+    roles = F.filter(F.array(member, outlier), lambda r: (r["outlier"] == 0) | (F.col("label") != F.col("top")))
+    rows = rows.withColumn("r", F.explode(roles)).withColumn("slice", F.explode("r.s"))
+    rows = rows.withColumn("chunk", F.explode("r.c")).withColumn("outlier", F.col("r.outlier"))
+    return _in_blocks(rows, kind, within=False)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) of doc_id with ``linked``: whether their full shingle sets are similar enough.
+def suspects(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(doc_id, component) of documents that may be linked: any two that may be share a component.
 
-    Each text is sent once for each pair it is in, and read in batches: no task holds a group.
+    ``members`` has bucket, doc and leader, the least document of the bucket; ``sketches`` doc, n and sketch.
+    """
+    others = members.where("doc <> leader")
+    pairs = others.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = stored(screen(pairs, sketches), "stars")
+    found = components(stars)
+    named = others.select(F.col("bucket").alias("grp"), "doc").join(found.withColumnRenamed("doc_id", "doc"), "doc", "left")
+    named = named.select("grp", "doc", F.coalesce("component", "doc").alias("label"), F.lit(1).alias("w"))
+    payload = sketches.select("doc", "n", F.col("sketch").alias("payload"))
+    more = stored(across(named, payload, _Sketched, SKETCHES).distinct(), "suspects")
+    return found if more.isEmpty() else components(stars.unionByName(more))
+
+
+def confirmed(groups: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, component) by links between documents of one of the ``groups`` (doc_id, component).
+
+    ``sizes`` has doc and n, ``docs`` doc_id and text.  A group of over SHINGLES shingles is dealt into parts,
+    each with the group's first document; what then is left unconnected meets across parts.
     """
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm_batches, "a long, b long, linked boolean")
+    named = groups.select(F.col("component").alias("grp"), F.col("doc_id").alias("doc"))
+    named = stored(named.join(sizes.groupBy("doc").agg(F.max("n").alias("w")), "doc").select("grp", "doc", "w"), "groups")
+    texts = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("payload"))
+    payload = named.select("doc", F.col("w").alias("n")).join(texts, "doc").distinct()
+    parts = named.groupBy("grp").agg(F.ceil(F.sum("w") / SHINGLES).cast("int").alias("parts"))
+    parts = stored(parts, "parts")
+    own = F.array(F.pmod(F.xxhash64("doc", F.lit(1)), F.col("parts")).cast("int"))
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    rows = named.join(parts, "grp").join(payload, "doc")
+    rows = rows.withColumn("chunk", F.explode(F.when(F.col("doc") == F.col("grp"), everywhere).otherwise(own)))
+    rows = rows.withColumns({"slice": F.lit(0), "outlier": F.lit(1), "label": F.col("doc")})
+    links = stored(_in_blocks(rows, _Sets, within=True), "links")
+    large = parts.where("parts > 1")
+    if not large.isEmpty():
+        found = components(links).withColumnRenamed("doc_id", "doc")
+        left = named.join(large.select("grp"), "grp", "left_semi").join(found, "doc", "left")
+        left = left.select("grp", "doc", F.coalesce("component", "doc").alias("label"), "w")
+        links = links.unionByName(stored(across(left, payload, _Sets, SHINGLES), "links"))
+    return components(links)
+
+
+def _with_least(rows: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m``, the least v of u; the rows of a hub are dealt over SALTS keys."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    some = rows.groupBy("u", "part").agg(F.min("v").alias("m"))
+    whole = some.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return rows.join(whole.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,21 +351,19 @@ def components(links: DataFrame) -> DataFrame:
     Each step is a shuffle of the links with partial minima; the number of steps grows with the
     logarithm of a component's diameter.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small_in = large.where("u <> v").distinct()
-        least = small_in.groupBy("u").agg(F.min("v").alias("m"))
-        small = small_in.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = stored(ends.where("u <> v").distinct(), "links")
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, now = None, state()
+    while now != before:
+        both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        small = _with_least(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct())
+        before, now = now, state()
+    roots = edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -263,26 +372,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Links join documents whose sets of distinct five-word shingles of the lower-cased text have a
     Jaccard similarity of 0.75 or more; ``component_id`` is the smallest doc_id that links reach.
     A null or empty text, or one of white space only, has no shingle and links with nothing.  Rows
-    that repeat a doc_id come back as often.  A null doc_id takes no part: its component is null and
-    it is kept.  Other columns are not looked at.
+    that repeat a doc_id come back as often; if their texts differ, what links with one of them is linked
+    with the doc_id.  A null doc_id takes no part: its component is null and it is kept.  A very long text
+    is compared whole, and a block that it fills has few other texts.  Other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(docs.mapInArrow(_sketch_batches, _SKETCHES), "sketches")
     some = rows.where("n_shingles > 0 and doc_id is not null")
     first = F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc_id").alias("first")
-    classes = stored(some.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), first).select("class_a", "class_b", "rep", "first.bands", "first.sketch", F.col("first.n_shingles").alias("n")), "classes")
-    sketches = classes.select(F.col("rep").alias("doc"), "n", "sketch", "bands")
+    classes = some.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"), first)
+    classes = classes.select("class_a", "class_b", "rep", "first.bands", "first.sketch", F.col("first.n_shingles").alias("n"))
+    classes = stored(classes, "classes")
+    sketches = classes.select(F.col("rep").alias("doc"), "n", "sketch")
     members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
-    shared = members.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last")).where("leader <> last").drop("last")
+    shared = members.groupBy("bucket").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"))
+    shared = stored(shared.where("leader <> last").drop("last"), "shared")
     members = stored(members.join(shared, "bucket"), "buckets")
 
-    pairs = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    links = stored(confirm(screen(pairs, sketches), docs).where("linked").select("a", "b"), "links")
-    found = components(links)
-    more = confirm(cross_pairs(members, found, sketches), docs).where("linked").select("a", "b")
-    found = components(links.unionByName(stored(more, "links")))
+    found = confirmed(suspects(members, sketches), sketches, docs)
     # rows -> class -> component; both right sides hold one row a key
-    named = classes.select("class_a", "class_b", "rep").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("class_a", "class_b", F.coalesce("component", "rep").alias("component"))
+    named = classes.select("class_a", "class_b", "rep").join(found.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    named = named.select("class_a", "class_b", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "class_a", "class_b").join(named, ["class_a", "class_b"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
+    kept = component.isNull() | (component == F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
