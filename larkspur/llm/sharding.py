@@ -2,14 +2,15 @@
 
 Rows of equal text are one atomic group; groups stand in the order of their texts' hashes.  The
 smallest capacity with which ``shards`` contiguous runs hold all groups is found by binary search,
-each try checked greedily, and the groups are cut there: no contiguous partition in this order has a
-smaller largest shard.
-
-The driver never holds the groups.  It sees running sums of sizes at some group ends: at first
-about POINTS of them, evenly spread.  Between two of these it knows nothing, so a try is checked
-twice, as if a cut could be nowhere there and as if it could be anywhere.  That bounds the capacity from
-above and below; only the gaps in which a cut can lie are then looked at more finely, until the bounds
-meet.  Cuts are keys, so each row finds its shard without a join.
+each try checked greedily, and the groups are cut under it: no contiguous partition in this order has a
+smaller largest shard.  Where that leaves a choice, a run ends as near as it can to an even share of what is
+still to place, so one large group doesn't leave other shards empty.
+
+The driver never holds the groups.  It sees running sums of sizes at some group ends: at first those of large
+groups and else about POINTS, evenly spread.  Between two of these it knows nothing but that groups there are
+small, so a try is checked twice, as if a cut could be nowhere there and as if it could be anywhere.  That bounds
+the capacity from above and below; only the spans in which a cut can lie, one for each at most, are then looked at more finely,
+until the bounds meet.  Cuts are keys, so each row finds its shard without a join.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sql import text_of
@@ -41,7 +42,8 @@ def running_sum(df: DataFrame, order: list[str], value: str) -> DataFrame:
         for batch in batches:
             sums = total + np.cumsum(batch.column(value).to_numpy().astype(np.int64))
             total = int(sums[-1]) if len(sums) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sums), part, np.int32)), pa.array(sums)], names=[*batch.schema.names, "part", "local"])
+            columns = [*batch.columns, pa.array(np.full(len(sums), part, np.int32)), pa.array(sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "part", "local"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     sums = stored(ranged.mapInArrow(run, f"{schema}, part int, local long"), "running")
@@ -55,61 +57,120 @@ def running_sum(df: DataFrame, order: list[str], value: str) -> DataFrame:
 
 
 class _Ends:
-    """Running sums at the group ends that are known, and the gaps between them that may hold more."""
+    """Running sums at the group ends that are known.
+
+    ``grain`` says for the gap after each how large the groups in it can be: less than so many bytes, or 0 if the
+    gap is one group.
+    """
 
     def __init__(self, total: int) -> None:
-        self.at, self.open = np.array([0, total], np.int64), np.array([True, False])  # open[k]: after at[k]
+        self.at, self.grain = np.array([0, total], np.int64), np.array([total + 1, 0])
 
-    def look(self, found: np.ndarray, more: np.ndarray) -> None:
-        """Take in the last end of each cell looked at; ``more`` says if the cell has others, before it."""
-        at, where = np.unique(np.concatenate([found, self.at]), return_index=True)
-        before = np.concatenate([more, [False], self.open[:-1]])[where]  # of the gap that an end closes
-        self.at, self.open = at, np.concatenate([before[1:], [False]])
+    def look(self, spans: list[tuple[int, int]], step: int, found: np.ndarray, closed: np.ndarray) -> None:
+        """Take in the ends ``found`` in the spans; all groups of ``step`` bytes or more there end at ``closed`` ones."""
+        at = np.unique(np.concatenate([found, self.at]))
+        grain = self.grain[np.searchsorted(self.at, at, side="right") - 1]
+        for a, b in spans:
+            inside = slice(int(np.searchsorted(at, a)), int(np.searchsorted(at, b)))
+            grain[inside] = np.where(np.isin(at[inside.start + 1 : inside.stop + 1], closed), 0, np.minimum(grain[inside], step))
+        self.at, self.grain = at, grain
 
-    def greedy(self, capacity: int, shards: int, *, anywhere: bool) -> tuple[bool, list[int]]:
-        """Whether ``shards`` runs of that capacity reach the end, and where the runs end."""
+    def greedy(self, capacity: int, shards: int) -> tuple[bool, list[int]]:
+        """Whether ``shards`` runs of that capacity, cut at known ends, reach the end, and where they end."""
         ends, at, total = [], 0, int(self.at[-1])
         for _ in range(shards):
-            target = at + capacity
-            if target >= total:
+            if at + capacity >= total:
                 return True, [*ends, total]
-            k = int(np.searchsorted(self.at, target, side="right")) - 1
-            at = target if anywhere and self.open[k] else int(self.at[k])
+            at = int(self.at[np.searchsorted(self.at, at + capacity, side="right") - 1])
             ends.append(at)
-        return at >= total, ends
+        return False, ends
+
+    def bounds(self, low: int, high: int, shards: int) -> tuple[bool, list[int], list[int]]:
+        """Whether runs of capacity ``high`` could reach the end, and between which places runs of ``low`` to ``high`` end."""
+        total, lower, upper = int(self.at[-1]), [0], [0]
+        for _ in range(shards):
+            first, last = min(lower[-1] + low, total), min(upper[-1] + high, total)
+            k, j = (int(np.searchsorted(self.at, x, side="right")) - 1 for x in (first, last))
+            lower.append(max(int(self.at[k]), first - int(self.grain[k]) if self.grain[k] else 0))
+            upper.append(last if self.grain[j] else int(self.at[j]))
+        return upper[-1] >= total, lower[1:], upper[1:]
 
     def least(self, low: int, high: int, shards: int, *, anywhere: bool) -> int:
+        """The least capacity that suffices, if cuts are at known ends or, with ``anywhere``, also where one may be."""
+        fits = (lambda c: self.bounds(c, c, shards)[0]) if anywhere else (lambda c: self.greedy(c, shards)[0])
         while low < high:
             middle = (low + high) // 2
-            low, high = (low, middle) if self.greedy(middle, shards, anywhere=anywhere)[0] else (middle + 1, high)
+            low, high = (low, middle) if fits(middle) else (middle + 1, high)
         return low
 
+    def even(self, capacity: int, shards: int) -> list[int]:
+        """Ends of at most ``shards`` runs of a capacity that suffices, as even as the known ends allow.
+
+        A run must end late enough for the rest to fit: not before where runs filled from the end backwards
+        would begin, or else where runs filled from the beginning end.
+        """
+        total, at, ends = int(self.at[-1]), 0, []
+        latest = self.greedy(capacity, shards)[1]
+        latest += [total] * (shards - len(latest))
+        begins = [total]
+        for _ in range(shards - 1):
+            begins.append(int(self.at[np.searchsorted(self.at, begins[-1] - capacity, side="left")]))
+        for k, (last, begin) in enumerate(zip(latest, reversed(begins), strict=True)):
+            most = min(at + capacity, last)
+            if begin > most:
+                at = last  # only the runs filled from the beginning are known to fit
+            else:
+                low = int(np.searchsorted(self.at, begin, side="left"))
+                low = max(low, int(np.searchsorted(self.at, at, side="right")))
+                some = self.at[low : int(np.searchsorted(self.at, most, side="right"))]
+                share = at + (total - at) / (shards - k)
+                at = int(some[np.abs(some - share).argmin()]) if len(some) else max(at, begin)
+            ends.append(at)
+        return ends
+
+
+def _spans(ends: _Ends, lower: list[int], upper: list[int]) -> list[tuple[int, int]]:
+    """Spans of the running sum, from one known end to another, that hold all places from ``lower`` to ``upper``."""
+    spans: list[tuple[int, int]] = []
+    for a, b in sorted(zip(lower, upper, strict=True)):
+        i = int(np.searchsorted(ends.at, a, side="right")) - 1
+        j = min(int(np.searchsorted(ends.at, b, side="left")) + 1, len(ends.at) - 1)
+        if not ends.grain[i:j].any():
+            continue
+        lo, hi = int(ends.at[i]), int(ends.at[j])
+        if spans and lo <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(hi, spans[-1][1]))
+        else:
+            spans.append((lo, hi))
+    return spans
+
+
+def _any(conditions: list[Column]) -> Column:
+    """Whether one of the conditions holds, as a balanced tree."""
+    half = len(conditions) // 2
+    return _any(conditions[:half]) | _any(conditions[half:]) if half else conditions[0]
+
 
 def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> list[int]:
-    """Ends of the runs, as values of ``until``, of a minimax partition of ``groups`` (until)."""
+    """Ends of the runs, as values of ``until``, of a minimax partition of ``groups`` (size, until)."""
     ends, low, high = _Ends(total), max(largest, -(-total // shards)), total
     spans = [(0, total)]
     while True:
-        width = sum(b - a for a, b in spans)
-        step = max(1, width // POINTS)
-        inside = F.lit(False)
-        for a, b in spans:
-            inside = inside | ((F.col("until") > a) & (F.col("until") <= b))
-        found = groups.where(inside).groupBy(F.floor(F.col("until") / step)).agg(F.max("until").alias("u"), F.count("*").alias("n")).collect()
-        ends.look(np.array([r["u"] for r in found], np.int64), np.array([r["n"] > 1 for r in found], bool))
+        # a cut is unsure by a few cells for each run before it: with so many cells each round gets on
+        step = max(1, sum(b - a for a, b in spans) // max(POINTS, 8 * shards**2))
+        inside = _any([(F.col("until") > a) & (F.col("until") <= b) for a, b in spans])
+        large = F.collect_list(F.when(F.col("size") >= step, F.struct("until", "size"))).alias("large")
+        cells = groups.where(inside).groupBy(F.expr(f"until div {step}L"))
+        rows = cells.agg(F.max("until").alias("u"), F.count("*").alias("n"), large).collect()
+        known = [r["u"] for r in rows] + [x for r in rows for g in r["large"] for x in (g["until"] - g["size"], g["until"])]
+        closed = [r["u"] for r in rows if r["n"] == 1] + [g["until"] for r in rows for g in r["large"]]
+        ends.look(spans, step, np.array(known, np.int64), np.array(closed, np.int64))
         high = ends.least(low, high, shards, anywhere=False)
         low = ends.least(low, high, shards, anywhere=True)
         if low == high:
-            return ends.greedy(high, shards, anywhere=False)[1]
-        # a run of the best partition ends between where runs of these two do
-        lower, upper = ends.greedy(low, shards, anywhere=False)[1], ends.greedy(high, shards, anywhere=True)[1]
-        lower += [lower[-1]] * (shards - len(lower))
-        upper += [total] * (shards - len(upper))
-        wanted = np.zeros(len(ends.at), bool)
-        for a, b in zip(lower, upper, strict=True):
-            wanted[np.searchsorted(ends.at, a, side="right") - 1 : np.searchsorted(ends.at, b, side="left") + 1] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], wanted & ends.open, [False]]).astype(int)))
-        spans = [(int(ends.at[i]), int(ends.at[j])) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+            return ends.even(high, shards)
+        # a run of the best partition ends between where runs of these two can
+        spans = _spans(ends, *ends.bounds(low, high, shards)[1:])
 
 
 def shard(docs: DataFrame, shards: int = 40, *, overhead: int = 16) -> DataFrame:
@@ -117,11 +178,18 @@ def shard(docs: DataFrame, shards: int = 40, *, overhead: int = 16) -> DataFrame
 
     Size is the text's UTF-8 bytes and ``overhead``; a null text counts as an empty one.  Rows of equal
     text, whatever else they hold, share a shard: texts are equal here if their 64-bit hash, CRC-32
-    and length are.  ``slot`` counts a shard's rows from 0, in the order of text hash and doc_id (nulls
+    and length are; a very long text is a large group like others.  ``slot`` counts a shard's rows from 0, in the order of text hash and doc_id (nulls
     first); rows equal in both stand in any order.  With fewer groups than shards the last shards are empty.
+    Other columns of ``docs`` are not looked at; an empty table has no shards.
     """
     text = text_of()
-    rows = docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("c"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
+    rows = docs.select(
+        "doc_id",
+        (F.octet_length(text) + overhead).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("c"),
+        F.xxhash64(text).alias("h"),
+        F.octet_length(text).alias("n"),
+    )
     rows = stored(rows.withColumn("tie", F.monotonically_increasing_id()), "rows")
     groups = running_sum(rows.groupBy(*_KEY).agg(F.sum("size").alias("size")), [*_KEY], "size")
     total, largest = groups.agg(F.max("until"), F.max("size")).first()
@@ -129,12 +197,22 @@ def shard(docs: DataFrame, shards: int = 40, *, overhead: int = 16) -> DataFrame
     keys = groups.where(F.col("until").isin(ends[:-1])).select(*_KEY, "until").collect() if len(ends) > 1 else []
     own, at = F.struct(*_KEY), F.lit(0)
     for k in keys:
-        at = at + (own > F.struct(*(F.lit(k[c]).cast(t) for c, t in zip(_KEY, ("long", "long", "int"), strict=True)))).cast("int")
-    placed = running_sum(rows.withColumn("shard", at).withColumn("one", F.lit(1)), ["shard", *_KEY, "doc_id", "tie"], "one")
+        cut = F.struct(*(F.lit(k[c]).cast(t) for c, t in zip(_KEY, ("long", "long", "int"), strict=True)))
+        at = at + (own > cut).cast("int")
+    rows = rows.withColumn("shard", at).withColumn("one", F.lit(1))
+    placed = running_sum(rows, ["shard", *_KEY, "doc_id", "tie"], "one")
     before, starts = 0, []
     for r in sorted(placed.groupBy("shard").count().collect()):
         starts.append((r["shard"], before))
         before += r["count"]
     first = docs.sparkSession.createDataFrame(starts, "shard int, first long")
     slot = F.col("until") - 1 - F.col("first")
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", F.col("c").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.join(F.broadcast(first), "shard").select(
+        "doc_id",
+        "size",
+        F.col("c").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        slot.alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
