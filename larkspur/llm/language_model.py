@@ -10,11 +10,14 @@ block sends each of its distinct words and bigrams once, with its count, to the
 that adds these up, and gets the corpus counts back in the same order; then it scores its own texts.  So no
 word's rows gather anywhere, however frequent it is, and no vocabulary is broadcast or collected.  N-grams are
 told apart by 64-bit hashes.
+
+A row goes from each block to each part, and both grow with the input.  From ``direct_blocks`` blocks on, the rows
+would be the square of their number: then blocks send to few coarse parts, where those of one group of blocks
+are merged, and the merged rows go on to the fine parts and back, about ``blocks ** 1.5`` rows in all.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sql import text_of
-from ._store import shared_folder, stored
+from ._store import bucketed, stored
 from ._text import U, join_hashes, seeded, texts_of, words_of
 
 END = seeded(77)  # the end of a text, and the context of its first word
-KEPT, DELETED, TEST = 0, 1, 2
+KEPT, DELETED, TEST, MERGED = 0, 1, 2, 3  # of a block; MERGED: of a group of blocks, with counts of both sorts
 CONTEXTS = 24  # buckets of context frequency
 
 
@@ -37,6 +40,7 @@ class Settings:
     block_bytes: int = 8 << 20
     deleted: int = 10
     rounds: int = 12
+    direct_blocks: int = 1024
 
 
 @dataclass
@@ -69,40 +73,100 @@ def _parts(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from ((int(part[a]), a, b) for a, b in zip(cut[:-1], cut[1:], strict=True))
 
 
+_COUNTED = {"part": pa.int64(), "block": pa.int64(), "kind": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
+_ANSWERS = {"part": pa.int64(), "block": pa.int64(), "trained": pa.binary(), "kept": pa.binary()}
+_TOTALS = dict.fromkeys(("n_trained", "v_trained", "n_kept", "v_kept"), pa.int64())
+
+
+def _table(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.table({c: pa.array(v, t) for (c, t), v in zip(schema.items(), columns, strict=True)})
+
+
+def _ddl(schema: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'binary' if t == pa.binary() else 'long'}" for c, t in schema.items())
+
+
 def _counted(blocks: DataFrame, bits: int) -> DataFrame:
-    """(part, block, kind, hashes, counts): each block's distinct grams in order, cut at the parts' borders."""
+    """(part, block, kind, hashes, counts): each block's distinct grams in order, cut at the parts' borders.
+
+    Parts from 0 on are of words, from ``1 << bits`` on of bigrams.
+    """
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"part": [], "block": [], "kind": [], "hashes": [], "counts": []}
+        block, rows = key[0].as_py(), []
         for order, grams in enumerate(_Block.of(table.column("text")).grams()):
             distinct, times = np.unique(grams, return_counts=True)
             for k, a, b in _parts(distinct, bits):
-                values = ((order << bits) + k, key[0].as_py(), key[0].as_py() % 3, distinct[a:b].tobytes(), times[a:b].astype(np.uint32).tobytes())
-                for c, v in zip(rows.values(), values, strict=True):
-                    c.append(v)
-        return pa.table({"part": pa.array(rows["part"], pa.int64()), "block": pa.array(rows["block"], pa.int64()), "kind": pa.array(rows["kind"], pa.int64()), "hashes": pa.array(rows["hashes"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
+                counts = times[a:b].astype(np.uint32).tobytes()
+                rows.append(((order << bits) + k, block, block % 3, distinct[a:b].tobytes(), counts))
+        return _table(_COUNTED, rows)
 
-    return blocks.groupBy("block").applyInArrow(count, "part long, block long, kind long, hashes binary, counts binary")
+    return blocks.groupBy("block").applyInArrow(count, _ddl(_COUNTED))
 
 
-def _added(key: tuple, table: pa.Table) -> pa.Table:
-    """The corpus counts of one part's grams, for each block in its own order; block -1 has the totals."""
+def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct grams of rows of one part, their counts (trained, kept), and where each row's grams are among them."""
     kind = table.column("kind").to_numpy()
     hashes = [np.frombuffer(x, U) for x in table.column("hashes").to_pylist()]
     size = np.array([len(x) for x in hashes])
+    raw = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+    times = np.concatenate([x[:n] for x, n in zip(raw, size, strict=True)]).astype(float)
+    kept = np.concatenate([x[-n:] for x, n in zip(raw, size, strict=True)]).astype(float)  # the same but for MERGED rows
     distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    times = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(float)
     of = np.repeat(kind, size)
     trained = np.bincount(which, times * (of != TEST), len(distinct)).astype(np.uint64)
-    kept = np.bincount(which, times * (of == KEPT), len(distinct)).astype(np.uint64)
-    totals = np.array([trained.sum(), (trained > 0).sum(), kept.sum(), (kept > 0).sum()], np.uint64)
+    kept = np.bincount(which, kept * ((of == KEPT) | (of == MERGED)), len(distinct)).astype(np.uint64)
     ends = np.cumsum(size)
-    spans = [which[b - n : b] for b, n in zip(ends, size, strict=True)]
-    blocks = [*table.column("block").to_pylist(), -1]
-    counts = [*(trained[x].tobytes() for x in spans), totals.tobytes()]
-    others = [*(kept[x].tobytes() if k == DELETED else b"" for x, k in zip(spans, kind, strict=True)), b""]
-    part = pa.array([key[0].as_py()] * len(blocks), pa.int64())
-    return pa.table({"part": part, "block": pa.array(blocks, pa.int64()), "trained": pa.array(counts, pa.binary()), "kept": pa.array(others, pa.binary())})
+    return distinct, trained, kept, [which[b - n : b] for b, n in zip(ends, size, strict=True)]
+
+
+def _answered(part: int, table: pa.Table, trained: np.ndarray, kept: np.ndarray, spans: list[np.ndarray]) -> list[tuple]:
+    """The counts of each row's grams in its own order; those without the deleted texts only where they are asked."""
+    blocks, kinds = table.column("block").to_pylist(), table.column("kind").to_pylist()
+    return [(part, block, trained[x].tobytes(), kept[x].tobytes() if kind in (DELETED, MERGED) else b"") for block, kind, x in zip(blocks, kinds, spans, strict=True)]
+
+
+def _added(key: tuple, table: pa.Table) -> pa.Table:
+    """The corpus counts of one part's grams, for each block in its own order; the row of block -1 has the totals."""
+    _, trained, kept, spans = _sums(table)
+    rows = _answered(key[0].as_py(), table, trained, kept, spans)
+    totals = tuple(int(x) for x in (trained.sum(), (trained > 0).sum(), kept.sum(), (kept > 0).sum()))
+    return _table(_ANSWERS | _TOTALS, [*((*r, None, None, None, None) for r in rows), (key[0].as_py(), -1, b"", b"", *totals)])
+
+
+def _answers(counted: DataFrame, bits: int) -> DataFrame:
+    # partitions grow with the parts, whatever the session's number is: a task holds about four parts at any size
+    dealt = counted.repartition(max(1, (2 << bits) // 4), "part")
+    return stored(dealt.groupBy("part").applyInArrow(_added, _ddl(_ANSWERS | _TOTALS)), "counts")
+
+
+def _in_two_steps(blocks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Answers for each block, and those for groups of blocks, which have the totals."""
+    coarse = bits // 2
+    group = F.expr(f"block div {3 << coarse}L").alias("grp")
+    counted = stored(_counted(blocks, coarse).withColumn("grp", group), "grams")
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        order = key[0].as_py() >> coarse
+        distinct, trained, kept, _ = _sums(table)
+        rows = []
+        for k, a, b in _parts(distinct, bits):
+            counts = np.concatenate([trained[a:b], kept[a:b]]).astype(np.uint32).tobytes()
+            rows.append(((order << bits) + k, key[1].as_py(), MERGED, distinct[a:b].tobytes(), counts))
+        return _table(_COUNTED, rows)
+
+    def spread(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, _, spans = _sums(table)
+        order = np.argsort(found.column("fine").to_numpy())
+        trained, kept = (np.frombuffer(b"".join(np.array(found.column(c).to_pylist(), object)[order]), U) for c in ("trained", "kept"))
+        return _table(_ANSWERS, _answered(key[0].as_py(), table, trained, kept, spans))
+
+    merged = counted.groupBy("part", "grp").applyInArrow(merge, _ddl(_COUNTED))
+    of_groups = _answers(merged, bits)
+    back = of_groups.where("block >= 0").select(F.expr(f"shiftright(part, {bits - coarse})").alias("part"), F.col("block").alias("grp"), F.col("part").alias("fine"), "trained", "kept")
+    both = counted.groupBy("part", "grp").cogroup(back.groupBy("part", "grp"))
+    return stored(both.applyInArrow(spread, _ddl(_ANSWERS)), "counts"), of_groups
 
 
 def _looked_up(block: _Block, answers: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,26 +219,26 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held: int = 2, settings: Set
 
     The model learns from rows whose crc32(doc_id) mod ``folds`` isn't ``held``; a null doc_id is one of
     these.  Texts are lower-cased in A-Z; their tokens are their words and one end, which all that a null
-    or empty text has.  Scores are log10 probabilities.  Repeated rows count and come back as often.
+    or empty text has.  Scores are log10 probabilities.  Repeated rows count and come back as often.  A very long
+    text is scored whole and makes its block as much larger.  Other columns are not looked at.
     """
-    spark = docs.sparkSession
     crc = lambda salt: F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(salt)).cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // settings.block_bytes))
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     kind = F.when(out, TEST).when(crc("deleted") % settings.deleted == 0, DELETED).otherwise(KEPT)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)) * 3 + kind)
-    name, buckets = f"larkspur_lm_{uuid.uuid4().hex}", min(3 * n, 20_000)
-    rows.repartition(buckets, "block").write.bucketBy(buckets, "block").option("compression", "zstd").option("path", f"{shared_folder(spark)}/larkspur/{name}").saveAsTable(name)
-    blocks = spark.table(name)
+    # by row, so that rows that repeat doc_id and text don't meet in one block
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n))
+    blocks = bucketed(rows.withColumn("block", place * 3 + kind), "texts", "block", min(3 * n, 20_000))
 
     bits = int(n).bit_length()
-    # partitions grow with the parts, whatever the session's number is: a task holds about four parts at any size
-    counted = _counted(blocks, bits).repartition(max(1, (2 << bits) // 4), "part")
-    answers = stored(counted.groupBy("part").applyInArrow(_added, "part long, block long, trained binary, kept binary"), "counts")
-    words = [np.frombuffer(r["trained"], np.uint64).astype(int) for r in answers.where(f"block = -1 and part < {1 << bits}").select("trained").collect()]
-    n_all, v_all, n_kept, v_kept = (int(sum(w[k] for w in words)) for k in range(4))
+    if n <= settings.direct_blocks:
+        answers = summed = _answers(_counted(blocks, bits), bits)
+    else:
+        answers, summed = _in_two_steps(blocks, bits)
+    totals = summed.where(f"block = -1 and part < {1 << bits}").agg(*(F.sum(c) for c in _TOTALS)).first()
+    n_all, v_all, n_kept, v_kept = (x or 0 for x in totals)
 
     def events(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         counts = _looked_up(_Block.of(texts.column("text")), found, "kept")
