@@ -4,7 +4,8 @@ Only hashes travel.  Each line becomes (hash, document, position); these are ran
 hash and document and sorted within the partitions by hash, document and position, so one pass over
 sorted rows streams the first occurrence of a line in each document.  A line that a third of all rows
 hold spreads over many ranges, as the document is part of the range; its documents are counted by
-partial sums.  What comes back to the texts is one run-length-compressed keep bitmap a document.
+partial sums.  The common lines are written as a table of their own: Spark broadcasts it to the lines if its
+files are small, and else can split a hot line's rows in the join.  What comes back to the texts is one run-length-compressed keep bitmap a document.
 
 Lines are compared by 96 bits of hash of their keys.  A document is a row's (doc_id, text): rows
 that repeat both count as one document, and each of them gets the bitmap.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._sql import SPACES, lower_ascii, text_of
+from ._store import stored
 
 _DOC = ("doc_id", "text_hash")
 _OPEN = 2**31 - 1
@@ -35,15 +37,15 @@ def bitmaps(docs: DataFrame, *, min_docs: int = 10, keep_first: bool = False, le
 
     Lines whose key is in ``min_docs`` documents or more go: all of them, or all but the first by
     doc_id and position with ``keep_first``.  ``kept`` has the runs of kept lines, as their first
-    position and their number; the last run goes on to the end.
+    position and their number; the last run goes on to the end.  Very long texts are split whole.
     """
     order = ["a", "b", *_DOC, "pos"]
-    every = line_hashes(docs, least_chars=least_chars)
+    every = stored(line_hashes(docs, least_chars=least_chars), "lines")
     lines = every.repartitionByRange("a", *_DOC).sortWithinPartitions(*order)
     in_doc = Window.partitionBy("a", "b", *_DOC).orderBy("pos")
     lines = lines.withColumn("opens", (F.row_number().over(in_doc) == 1).cast("int"))
     counts = [F.sum("opens").alias("docs")] + ([F.min(F.struct(*_DOC, "pos")).alias("first")] if keep_first else [])
-    common = lines.groupBy("a", "b").agg(*counts).where(F.col("docs") >= min_docs)
+    common = stored(lines.groupBy("a", "b").agg(*counts).where(F.col("docs") >= min_docs).drop("docs"), "common")
     lost = every.join(common, ["a", "b"])
     if keep_first:
         lost = lost.where(~F.struct(*_DOC, "pos").eqNullSafe(F.col("first")))
