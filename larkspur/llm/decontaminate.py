@@ -4,7 +4,8 @@ A mask names the token positions of a window that are hashed; the others are ign
 substitution there changes nothing.  Windows of the test items and of the training documents are
 joined on their masked hashes; around each hit the two texts are laid side by side, and the hit
 counts if ``window`` tokens that hold it agree in all but ``substitutions`` places.  The default
-masks hit every window of 13 tokens with any two of them replaced (`tests/llm` goes through all).
+masks hit every window of 13 tokens with any two of them replaced (`tests/llm` goes through all).  An item
+of 8 to 12 tokens has no such window: its hits count if the document holds the whole item as it is.
 
 Tokens are runs of letters and digits of the lower-cased text.  The hashes of the test side are
 broadcast only if there are at most ``broadcast_rows`` of them; beyond, the document windows are
@@ -59,22 +60,30 @@ def _around(seeds: Seeds, prefix: str) -> list[Column]:
 
 
 def _verified(seeds: Seeds) -> tuple[Column, Column]:
-    """Where the two texts agree around a hit, as ``same``, and whether ``window`` neighbours do but for the substitutions."""
+    """Where the two texts agree around a hit, as ``same``, and whether that is an overlap.
+
+    It is one if ``window`` neighbours agree but for the substitutions.  ``test_near`` is shorter than that only
+    if it is a whole item of fewer tokens; then all of these must agree.
+    """
     left = F.least("doc_before", "test_before")
     size = F.least(F.size("doc_near") - F.col("doc_before"), F.size("test_near") - F.col("test_before")) + left
     cut = lambda side: F.slice(f"{side}_near", F.col(f"{side}_before") - left + 1, size)
     same = F.zip_with(cut("doc"), cut("test"), lambda a, b: (a == b).cast("int"))
     agree = lambda k: F.aggregate(F.slice("same", k + 1, seeds.window), F.lit(0), lambda s, x: s + x) >= seeds.window - seeds.substitutions
-    return same, F.when(F.size("same") >= seeds.window, F.exists(F.sequence(F.lit(0), F.size("same") - seeds.window), agree))
+    places = F.sequence(F.lit(0), F.size("same") - seeds.window)
+    whole = (F.size("test_near") < seeds.window) & (F.size("same") == F.size("test_near")) & F.forall("same", lambda x: x == 1)
+    return same, F.when(F.size("same") >= seeds.window, F.exists(places, agree)).otherwise(whole)
 
 
 def contaminated(docs: DataFrame, tests: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """(doc_id, text_hash, n_hits, item_id) of the documents that overlap a test item.
 
-    ``docs`` has doc_id and text, ``tests`` item_id and text.  ``n_hits`` counts verified hits of
-    distinct test passages, ``item_id`` is the smallest item with one.  Null and empty texts overlap
-    with nothing, nor do items or documents of fewer tokens than ``window``: so little can be chance.
-    ``text_hash`` is that of the text, null as empty; rows equal in doc_id and text are one document.
+    ``docs`` has doc_id and text, ``tests`` item_id and text.  ``n_hits`` counts the verified hits: places of the
+    document and masks, each with as many distinct test passages as it overlaps there.  ``item_id`` is the
+    smallest item with a hit.  Null and empty texts overlap with nothing, nor do items of fewer tokens than a
+    mask spans, or documents of fewer than ``window`` but for whole short items: so little can be chance.
+    ``text_hash`` is that of the text, null as empty; rows equal in doc_id and text are one document, whose
+    hits count once.  Very long texts are searched whole.
     """
     items = tests.select("item_id", token_hashes(text_of()).alias("h"))
     passages = _windows(items, seeds).select("key", "item_id", *_around(seeds, "test"))
@@ -83,13 +92,14 @@ def contaminated(docs: DataFrame, tests: DataFrame, seeds: Seeds = Seeds()) -> D
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), token_hashes(text_of()).alias("h"))
     windows = _windows(rows, seeds)
     if keys.limit(seeds.broadcast_rows + 1).count() <= seeds.broadcast_rows:
-        hits = windows.join(F.broadcast(keys), "key", "left_semi").select(*_DOC, "key", *_around(seeds, "doc"))
+        hits = windows.join(F.broadcast(keys), "key", "left_semi").select(*_DOC, "at", "key", *_around(seeds, "doc"))
     else:
         places = windows.join(keys, "key", "left_semi").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), "at", "key").distinct()
         same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash"))
-        hits = places.join(rows, same).select(*_DOC, "key", *_around(seeds, "doc"))
+        hits = places.join(rows, same).select(*_DOC, "at", "key", *_around(seeds, "doc"))
     same, verified = _verified(seeds)
     pairs = hits.join(passages, "key").withColumn("same", same).where(verified)
+    pairs = pairs.select(*_DOC, "at", "key", "item_id", F.xxhash64("test_near", "test_before").alias("passage")).distinct()
     return pairs.groupBy(*_DOC).agg(F.count("*").alias("n_hits"), F.min("item_id").alias("item_id"))
 
 
