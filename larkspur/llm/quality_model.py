@@ -2,9 +2,11 @@
 
 A document becomes a few statistics of its text, standardised by the training rows.  Random Fourier
 features ``sqrt(2/D) cos(Wx + b)`` with normal W make a linear model approximate one with a Gaussian
-kernel.  Each task sums ``Z'Z`` and ``Z'y`` over its rows; Spark adds these up row by row of the matrix, and
-the driver solves one system of D + 1 unknowns.  Raw scores are calibrated by isotonic regression over
-BINS equal cells, which bounds what the driver sees.  All labelled training rows are used, without a cap.
+kernel.  Each task sums ``Z'Z`` and ``Z'y`` over its rows for each of FOLDS folds; Spark adds these up row by row of
+the matrices, and the driver solves systems of D + 1 unknowns: one of all rows, whose scores count, and one
+without each fold.  Isotonic regression calibrates on scores that a row gets from the system without its own
+fold, as scores of rows that the ridge has seen are too sure of themselves; it works over BINS equal cells,
+which bounds what the driver sees.  All labelled training rows are used, without a cap.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from ._text import pieces, texts_of, words_of
 
 STATISTICS = ("words", "bytes", "word_bytes", "capitals", "digits", "symbols", "bars", "exclaims", "marks", "high", "lines", "distinct", "repeats", "pairs", "line_repeats", "short")
 BINS = 2048
+FOLDS = 5  # of the training rows, for calibration
 
 
 @dataclass(frozen=True)
@@ -112,7 +115,17 @@ class Model:
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """The cell of a raw score; raw scores from -0.5 to 1.5 have BINS cells."""
-        return np.clip((self.features(x) @ self.ridge + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64)
+        return cells(self.features(x) @ self.ridge)
+
+
+def cells(raw: np.ndarray) -> np.ndarray:
+    return np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64)
+
+
+def solve(system: np.ndarray, rows: float, settings: Settings) -> np.ndarray:
+    """Ridge weights from ``Z'Z`` with ``Z'y`` as its last column."""
+    strength = settings.ridge * rows / settings.features
+    return np.linalg.solve(system[:, :-1] + strength * np.eye(len(system)), system[:, -1])
 
 
 def isotonic(bins: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,38 +142,56 @@ def isotonic(bins: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 def fit(rows: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model from ``rows`` (x array<double>, y 0 or 1).  Without rows all scores are 0.5."""
-    width = len(STATISTICS)
-    sums = rows.select(F.count("*").alias("n"), *(F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(width)), *(F.stddev_pop(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(width))).first()
+    """A model from ``rows`` (x array<double>, y 0 or 1, fold int).  Without rows all scores are 0.5.
+
+    ``fold`` is 0 to FOLDS - 1; if only one of these has rows, calibration takes the scores of the ridge itself.
+    """
+    width, size = len(STATISTICS), settings.features + 1
+    moments = [f(F.get("x", F.lit(i))).alias(f"{c}{i}") for c, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(width)]
+    sums = rows.select(F.count("*").alias("n"), *moments).first()
     rng = np.random.default_rng(settings.seed)
     mean, scale = (np.array([sums[f"{c}{i}"] or 0.0 for i in range(width)]) for c in "ms")
-    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(size=(width, settings.features)) / settings.width, rng.uniform(0, 2 * np.pi, settings.features), np.zeros(settings.features + 1))
+    weights, phase = rng.normal(size=(width, settings.features)) / settings.width, rng.uniform(0, 2 * np.pi, settings.features)
+    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), weights, phase, np.zeros(size))
     if not sums["n"]:
         model.levels = np.full(BINS, 0.5)
         return model
+    rows = rows.select("x", F.col("y").cast("double").alias("y"), F.col("fold").cast("long").alias("fold"))
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((settings.features + 1, settings.features + 2))
+        total, n = np.zeros((FOLDS, size, size + 1)), np.zeros(FOLDS)
         for batch in batches:
-            z = model.features(_matrix(batch.column("x"), width))
-            total += z.T @ np.concatenate([z, batch.column("y").to_numpy()[:, None]], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), _lists(total)], names=["i", "v"])
+            z, y, fold = model.features(_matrix(batch.column("x"), width)), batch.column("y").to_numpy(), batch.column("fold").to_numpy()
+            for k in np.unique(fold):
+                own = fold == k
+                total[k] += z[own].T @ np.concatenate([z[own], y[own, None]], 1)
+                n[k] += own.sum()
+        some = np.flatnonzero(n)
+        place = (some[:, None] * size + np.arange(size)).reshape(-1)
+        counted = np.concatenate([total[some].reshape(-1, size + 1), np.repeat(n[some], size)[:, None]], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(place), _lists(counted)], names=["i", "v"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = _matrix(table.column("v").combine_chunks(), settings.features + 2).sum(0)
+        total = _matrix(table.column("v").combine_chunks(), size + 2).sum(0)
         return pa.table({"i": pa.array([key[0].as_py()]), "v": _lists(total[None, :])})
 
-    parts = rows.select("x", F.col("y").cast("double").alias("y")).mapInArrow(equations, "i long, v array<double>")
-    solved = sorted(parts.groupBy("i").applyInArrow(add, "i long, v array<double>").collect())
-    system = np.array([r["v"] for r in solved])
-    model.ridge = np.linalg.solve(system[:, :-1] + settings.ridge * sums["n"] * np.eye(len(system)) / settings.features, system[:, -1])
+    folds = np.zeros((FOLDS, size, size + 2))
+    parts = rows.mapInArrow(equations, "i long, v array<double>").groupBy("i").applyInArrow(add, "i long, v array<double>")
+    for r in parts.toLocalIterator():
+        folds[r["i"] // size, r["i"] % size] = r["v"]
+    system, counts = folds[:, :, :-1], folds[:, 0, -1]
+    model.ridge = solve(system.sum(0), counts.sum(), settings)
+    without = [solve(system.sum(0) - system[k], counts.sum() - counts[k], settings) if 0 < counts[k] < counts.sum() else model.ridge for k in range(FOLDS)]
+    ridges = np.stack(without, 1)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.bins(_matrix(batch.column("x"), width))), batch.column("y")], names=["bin", "y"])
+            raw = model.features(_matrix(batch.column("x"), width)) @ ridges
+            own = raw[np.arange(len(raw)), batch.column("fold").to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(cells(own)), batch.column("y")], names=["bin", "y"])
 
-    cells = sorted(rows.select("x", F.col("y").cast("double").alias("y")).mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.sum("y"), F.count("*")).collect())
-    model.levels = isotonic(*(np.array(c, float) for c in zip(*cells, strict=True)))
+    found = rows.mapInArrow(binned, "bin long, y double").groupBy("bin").agg(F.sum("y"), F.count("*"))
+    model.levels = isotonic(*(np.array(c, float) for c in zip(*sorted(found.collect()), strict=True)))
     return model
 
 
@@ -179,10 +210,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held: int =
 
     Labels (doc_id, quality) teach only where crc32(doc_id) mod ``folds`` isn't ``held``; null labels
     and ids teach nothing, and repeated rows teach as often as they come.  Null and empty texts get the
-    score of an empty text.  A null doc_id isn't held out.
+    score of an empty text.  A null doc_id isn't held out.  A very long text counts whole, as one row.  Other
+    columns are not looked at.
     """
     stats = stored(text_statistics(docs), "statistics")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
     known = labels.select("doc_id", F.col("quality").alias("y")).where("y is not null").where(~out)
-    model = fit(stored(stats.join(known, "doc_id").select("x", "y"), "training"), settings)
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("fold")), F.lit(FOLDS)).alias("fold")
+    model = fit(stored(stats.join(known, "doc_id").select("x", "y", fold), "training"), settings)
     return score(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
