@@ -3,8 +3,15 @@
 An entity is a kind and a canonical value (digits of a number, an e-mail address in lower case, one name).
 Its surrogate is drawn from a keyed hash of both and the number of the attempt, so the same entity gets
 the same surrogate in all documents and forms, and nobody without the key can tell which.  Numbers keep
-length, separators and check digits (Luhn, ISO 7064), addresses keep their network's kind, names keep
-letter classes, case, script and a gendered ending.
+length, separators and check digits (Luhn, ISO 7064), addresses keep their network's kind.  Names become names:
+syllables of the same script, about as many, with case and hyphens as before and an ending that fits the gender.
+
+Found are e-mail addresses, secrets, IBANs, IPv4 addresses, numbers in the forms of US social security, card and
+telephone numbers, and persons.  A form of address that tells the gender gives a person away ("Mrs. Anna
+Schmidt").  Names of two or three words learnt so anywhere in the corpus, the roster, are found in all
+documents without it ("Anna Schmidt called"); there, as beside a form of address, each of the names then counts
+wherever it stands in the text.  Not found are persons whom no document addresses, single names away from their form
+of address, IPv6 addresses, and numbers in other groupings.
 
 Distinctness is checked, not assumed: the distinct entities of the corpus are grouped by surrogate, and
 all but one of those that collide, and any that hit a real entity, try again until none does.  A format
@@ -18,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import zip_longest
 
 import pyarrow as pa
@@ -44,13 +52,33 @@ _PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)",
     "person": rf"\b(?P<title>{'|'.join((*_FEMALE, *_MALE))})\.?\s+(?P<names>{_NAME}(?:[^\S\n]+{_NAME}){{0,2}})",
 }
+_PERSON = re.compile(_PATTERNS["person"])
+_ADDRESS = re.compile("|".join((*_FEMALE, *_MALE)))
+_RUN = re.compile(rf"\b{_NAME}(?:[^\S\n]+{_NAME})+")
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items()))
 _HINT = re.compile(rf"@|\d|(?i:token|password|passwd|pwd|secret|key)|{'|'.join((*_FEMALE, *_MALE))}")
 # Letters of a class are replaced within it.
 _LETTERS = ("aeiou", "bcdfghjklmnprstvwz", "àáâäèéêëìíîïòóôöùúûü", "ñçß", "аеиоуыэюя", "бвгдзклмнпрстфх", "αεηιου", "βγδζκλμνπρστ")
 _CLASS = {c: letters for letters in _LETTERS for c in letters}
-# Vowels and consonants that endings are taken from, by script.
-_ENDINGS = (("[\u0400-\u04ff]", "аяиу", "влнрт"), ("[\u0370-\u03ff]", "αηου", "νρς"), ("", "aeiou", "lnrst"))
+
+
+@dataclass(frozen=True)
+class _Script:
+    """What names of a script are made of."""
+
+    letters: str
+    onsets: tuple[str, ...]
+    vowels: str
+    codas: tuple[str, ...]
+    endings: dict[str, tuple[str, ...]]
+
+
+# Sounds and endings of names by script and kind.
+_SCRIPTS = (
+    _Script("\u0400-\u04ff", tuple("б в г д з к л м н п р с т ф бр др кр ст тр".split()), "аеиоу", ("", "", "л", "н", "р", "с"), {"f": ("а", "ия", "ина", "ела"), "m": ("н", "р", "с", "т", "л", "слав", "мир"), "surname": ("ов", "ин", "ев", "ко", "ский")}),
+    _Script("\u0370-\u03ff", tuple("β γ δ ζ θ κ λ μ ν π ρ σ τ φ στ τρ".split()), "αειου", ("", "", "ν", "ρ", "λ"), {"f": ("α", "ια", "ινα", "η"), "m": ("ος", "ης", "ας", "ων"), "surname": ("ης", "ου", "ιδης", "ακης")}),
+    _Script("", tuple("b d f g h j k l m n p r s t v w br dr gr kl st tr".split()), "aeiou", ("", "", "l", "n", "r", "s"), {"f": ("a", "ia", "ina", "ela", "etta"), "m": ("n", "r", "s", "l", "rd", "rt", "ric"), "surname": ("er", "en", "el", "ow", "ing", "ard", "son", "mann")}),
+)
 
 Entity = tuple[str, str]
 
@@ -77,19 +105,33 @@ class _Stream:
         out = []
         for c in text:
             low = c.lower()
-            letters = "0123456789" if c.isnumeric() else _CLASS.get(low) or _CLASS.get(unicodedata.normalize("NFD", low)[0]) or (_CLASS[_endings(low)[1][0]] if c.isalpha() else c)
+            letters = "0123456789" if c.isnumeric() else _CLASS.get(low) or _CLASS.get(unicodedata.normalize("NFD", low)[0])
+            letters = letters or (_CLASS[_script(low).onsets[0]] if c.isalpha() else c)
             new = letters[self.below(len(letters))] if len(letters) > 1 else c
             out.append(new.upper() if c != low and len(new.upper()) == 1 else new)
         return "".join(out)
 
     def more(self, value: str, n: int) -> str:
         """``n`` letters of the value's script, in turns a vowel and a consonant."""
-        return self.shaped("".join(x[0] for x in _endings(value)) * (n // 2 + 1))[:n]
+        script = _script(value)
+        return self.shaped((script.vowels[0] + script.onsets[0]) * (n // 2 + 1))[:n]
+
+    def one_of(self, values: Sequence[str]) -> str:
+        return values[self.below(len(values))]
+
+    def name(self, part: str, ending: str, longer: int) -> str:
+        """A name of about as many syllables as ``part``, with one of the script's endings of that kind."""
+        script, out = _script(part), []
+        for _ in range((1 if len(part) < 4 else max(2, round(len(part) / 3))) + longer):
+            out += [self.one_of(script.onsets), self.one_of(script.vowels), self.one_of(script.codas)]
+        last = self.one_of(script.endings[ending])
+        if last[0] not in script.vowels:  # a consonant follows a vowel
+            return "".join(out[:-1]) + last
+        return "".join(out[:-2] if len(out) > 3 else [out[0]]) + last
 
 
-def _endings(value: str) -> tuple[str, str]:
-    """Vowels and consonants of the value's script."""
-    return next((v, c) for script, v, c in _ENDINGS if re.search(script, value))
+def _script(value: str) -> _Script:
+    return next(x for x in _SCRIPTS if not x.letters or re.search(f"[{x.letters}]", value))
 
 
 def _luhn(digits: str) -> bool:
@@ -132,11 +174,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         digits = "0123456789abcdef" if re.fullmatch("[0-9a-f]+", value) else "0123456789ABCDEF" if re.fullmatch("[0-9A-F]+", value) else None
         pattern = value + ("0" if digits else "a") * longer
         return "".join(digits[s.below(16)] if digits else str(s.below(10)) if c.isnumeric() else chr((65 if c.isupper() else 97) + s.below(26)) if c.isalpha() else c for c in pattern)
-    out = s.shaped(value) + s.more(value, longer)  # name:surname, name:f, name:m
-    vowels, consonants = _endings(value)
-    if kind == "name:f":
-        return out[:-1] + vowels[0]
-    return out[:-1] + consonants[s.below(len(consonants))] if kind == "name:m" else out
+    parts = re.split("([-'’])", value)  # of name:surname, name:f, name:m
+    if max(map(len, parts)) == 1:  # initials stay initials
+        return s.shaped(value) + s.more(value, longer)
+    ending, last = kind.rpartition(":")[2], max(k for k, p in enumerate(parts) if len(p) > 1)
+    extra = longer.bit_length()
+    return "".join(p if k % 2 else s.shaped(p) if len(p) < 2 else s.name(p, ending, extra if k == last else 0) for k, p in enumerate(parts))
 
 
 def _canonical(kind: str, mention: str) -> str:
@@ -153,29 +196,59 @@ def _laid_out(kind: str, mention: str, value: str) -> str:
     if kind == "iban":
         fill = iter(value)
         return "".join([*(" " if c == " " else next(fill) for c in mention), *fill])
+    if mention.isupper() and len(mention) > 1 and (kind == "email" or kind.startswith("name")):
+        return value.upper()
+    if kind.startswith("name") and any(len(p) > 1 for p in re.split("[-'’]", mention)):
+        old, new = re.split("([-'’])", mention), re.split("([-'’])", value)
+        return "".join(n[:1].upper() + n[1:] if m[:1].isupper() else n for m, n in zip_longest(old, new, fillvalue=""))
     if kind == "email" or kind.startswith("name"):
-        if mention.isupper() and len(mention) > 1:
-            return value.upper()
         return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip_longest(mention, value, fillvalue=""))
     return value
 
 
-def mentions(text: str) -> list[tuple[int, int, str]]:
+def _parts_of(names: str, gender: str) -> dict[str, str]:
+    """The names of a person with their kinds: the last is the surname."""
+    parts = names.split()
+    return {p: "name:surname" if k == len(parts) - 1 else f"name:{gender}" for k, p in enumerate(parts)}
+
+
+def addressed(text: str) -> set[tuple[str, str]]:
+    """Names of two or three words behind a form of address, with one blank between them, and the gender it tells."""
+    if not _ADDRESS.search(text):
+        return set()
+    found = ((m["names"].split(), m["title"]) for m in _PERSON.finditer(text))
+    return {(" ".join(names), "f" if title in _FEMALE else "m") for names, title in found if len(names) > 1}
+
+
+def name_like(text: str) -> set[str]:
+    """All that could be a name of two or three words: so many capitalised words in a row."""
+    out = set()
+    for run in _RUN.finditer(text):
+        words = run[0].split()
+        out |= {" ".join(words[k : k + n]) for n in (2, 3) for k in range(len(words) - n + 1)}
+    return out
+
+
+def mentions(text: str, roster: Iterable[tuple[str, str]] = ()) -> list[tuple[int, int, str]]:
     """Begin, end and kind of the entities of a text, in order, not overlapping.
 
-    A person's names count wherever they stand in a text that has them once behind a form of address:
-    the last name as ``name:surname``, those before it as ``name:f`` or ``name:m``.  A blank to fill in, as
-    ``Password: ________``, has nothing to replace and is no entity.
+    A person's names count wherever they stand in a text that has them once behind a form of address, or
+    that holds a name of the ``roster`` (names of two or three words, with f or m): the last name as
+    ``name:surname``, those before it as ``name:f`` or ``name:m``.  A blank to fill in, as ``Password: ________``,
+    has nothing to replace and is no entity.
     """
-    if not _HINT.search(text):
+    names: dict[str, str] = {}
+    for full, gender in sorted(roster):
+        for name, kind in _parts_of(full, gender).items():
+            names.setdefault(name, kind)
+    if not names and not _HINT.search(text):
         return []
-    found, names = [], {}
+    found = []
     for m in _ANY.finditer(text):
         kind = m.lastgroup if m.lastgroup in _PATTERNS else next(k for k in _PATTERNS if m[k] is not None)
         if kind == "person":
-            parts = list(re.finditer(r"\S+", m["names"]))
-            for k, p in enumerate(parts):
-                names.setdefault(p[0], "name:surname" if k == len(parts) - 1 else "name:f" if m["title"] in _FEMALE else "name:m")
+            for name, of in _parts_of(m["names"], "f" if m["title"] in _FEMALE else "m").items():
+                names.setdefault(name, of)
         elif kind == "secret":
             group = "secret_value" if m["secret_value"] is not None else "secret_id"
             if any(map(str.isalnum, m[group])):
@@ -193,10 +266,10 @@ def mentions(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def replaced(text: str, surrogate_of: Callable[[Entity], str]) -> tuple[str, list[str]]:
+def replaced(text: str, surrogate_of: Callable[[Entity], str], roster: Iterable[tuple[str, str]] = ()) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds of its mentions."""
     out, at, kinds = [], 0, []
-    for begin, end, kind in mentions(text):
+    for begin, end, kind in mentions(text, roster):
         mention = text[begin:end]
         out += [text[at:begin], _laid_out(kind, mention, surrogate_of((kind, _canonical(kind, mention))))]
         at = end
@@ -204,12 +277,34 @@ def replaced(text: str, surrogate_of: Callable[[Entity], str]) -> tuple[str, lis
     return "".join([*out, text[at:]]) if out else text, kinds
 
 
+def _rows(schema: dict[str, pa.DataType], rows: Iterable[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
+
+
+def _roster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = set().union(*(addressed(t) for t in batch.column("text").to_pylist()))
+        yield _rows({"name": pa.string(), "gender": pa.string()}, sorted(rows))
+
+
+def _name_like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
+        found = ((d, h, name) for d, h, t in rows for name in sorted(name_like(t)))
+        yield _rows({"doc_id": pa.int64(), "text_hash": pa.int64(), "name": pa.string()}, found)
+
+
+def _pairs(column: pa.Array) -> list[list[tuple[str, str]]]:
+    return [[(x["name"], x["gender"]) for x in r or ()] for r in column.to_pylist()]
+
+
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = {"doc_id": pa.int64(), "text_hash": pa.int64(), "kind": pa.string(), "value": pa.string()}
     for batch in batches:
-        rows = [(d, h, k, _canonical(k, t[a:b])) for d, h, t in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True) for a, b, k in mentions(t)]
-        rows = list(dict.fromkeys(rows))
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "text_hash", "kind", "value"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), _pairs(batch.column("roster")), strict=True)
+        found = ((d, h, k, _canonical(k, t[a:b])) for d, h, t, r in rows for a, b, k in mentions(t, r))
+        yield _rows(schema, dict.fromkeys(found))
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -235,31 +330,55 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         drawn = stored(drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(redrawn), "surrogates")
 
 
+def _joined(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """``rows`` (doc_id, text_hash and more) with the column ``value`` of ``found``, one row a document."""
+    found = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), value)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    return rows.join(found, same, "left").drop("of_id", "of_hash")
+
+
+def known_names(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, text) with ``roster``: the corpus's addressed names of two or three words that a text holds.
+
+    A name that is addressed as both takes the first gender in order.  A corpus that addresses nobody is read once.
+    """
+    people = rows.select("text").mapInArrow(_roster, "name string, gender string")
+    people = stored(people.groupBy("name").agg(F.min("gender").alias("gender")), "people")
+    if people.isEmpty():
+        return rows.withColumn("roster", F.lit(None).cast("array<struct<name:string,gender:string>>"))
+    # names spread by their text: a name that many documents hold is one row of people, and they are split in the join
+    likely = rows.mapInArrow(_name_like, "doc_id long, text_hash long, name string").join(people, "name")
+    by_doc = likely.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("name", "gender"))).alias("roster"))
+    return stored(_joined(rows, by_doc, "roster"), "named")
+
+
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) and kinds of each row of ``docs``.
 
-    A null text stays null and an empty one empty, with no entities.  Repeated rows get equal results.
+    A null text stays null and an empty one empty, with no entities.  Repeated rows get equal results, and a null
+    doc_id is an id like others.  Very long texts are searched whole.  Other columns are left out, whatever their names.
     """
     if not key:
         raise ValueError("surrogates need a key")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_of()).alias("text_hash"))
-    seen = stored(rows.withColumn("text", text_of()).mapInArrow(_entities, "doc_id long, text_hash long, kind string, value string"), "entities")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"), F.col("text").isNull().alias("none"))
+    rows = known_names(rows)
+    seen = stored(rows.mapInArrow(_entities, "doc_id long, text_hash long, kind string, value string"), "entities")
     later = stored(assign(seen.select("kind", "value").distinct(), key).where("attempt > 0"), "later")
     if later.isEmpty():
         rows = rows.withColumn("later", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
-        by_doc = seen.join(later, ["kind", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("later"))
-        by_doc = by_doc.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "later")
-        rows = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left").select("doc_id", "text", "text_hash", "later")
+        by_doc = seen.join(later, ["kind", "value"]).groupBy("doc_id", "text_hash")
+        rows = _joined(rows, by_doc.agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("later")), "later")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = {"doc_id": pa.int64(), "text": pa.string(), "n_entities": pa.int64(), "kinds": pa.list_(pa.string())}
         for batch in batches:
-            texts, kinds = [], []
-            for text, later_of in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "none", "later"))
+            for doc_id, text, none, later_of, roster in zip(*columns, _pairs(batch.column("roster")), strict=True):
                 attempts = {(x["kind"], x["value"]): x["attempt"] for x in later_of or ()}
-                new, found = replaced(text, lambda e: surrogate(key, *e, attempts.get(e, 0))) if text else (text, [])  # noqa: B023
-                texts.append(new)
-                kinds.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(k) for k in kinds], pa.int64()), pa.array([sorted(set(k)) for k in kinds], pa.list_(pa.string()))], names=["doc_id", "text", "n_entities", "kinds"])
+                new, found = replaced(text, lambda e: surrogate(key, *e, attempts.get(e, 0)), roster)  # noqa: B023
+                out.append((doc_id, None if none else new, len(found), sorted(set(found))))
+            yield _rows(schema, out)
 
-    return rows.select("doc_id", "text", "later").mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
+    return rows.select("doc_id", "text", "none", "later", "roster").mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
