@@ -345,6 +345,13 @@ def _with_least(rows: DataFrame) -> DataFrame:
     return rows.join(whole.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u of ``edges`` (u, v) has one v, which is no u."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out + into > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, component) of all ends of ``links`` (a, b), by alternating large and small stars.
 
@@ -353,15 +360,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = stored(ends.where("u <> v").distinct(), "links")
-    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before, now = None, state()
-    while now != before:
+    while not _are_stars(edges):
         both = _with_least(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = both.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = stored(small.where("u <> v").distinct(), "links")
-        before, now = now, state()
     roots = edges.select(F.col("v").alias("doc_id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).unionByName(roots)
 
