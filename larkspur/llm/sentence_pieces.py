@@ -236,7 +236,8 @@ def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id") -> DataFrame:
 
     ``decoded`` is the text that the ids give back; ``parity`` whether the sentencepiece library gives
     the same ids.  A null text gives no ids and a null ``decoded``; an empty one gives no ids and an
-    empty one.  Other columns of ``docs`` are not looked at.
+    empty one.  Repeated rows and null keys come back as they are.  Texts are encoded whole: those of a batch
+    about 1 MB at a time, a longer one by itself.  Other columns of ``docs`` are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
