@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
+def delete_streams(spark: SparkSession) -> int:
+    """Delete what streams of this session have written; call it when their results have been read."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a file stream; ``ts`` is a zoned timestamp there, as watermarks need it."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
@@ -20,11 +33,17 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
     """What ``stream`` appends until its source is exhausted, written as Parquet and read again.
 
     Output and the stream's own checkpoint go to ``spark.checkpoint.dir``, the folder that all machines
-    share; where it is unset, as in local tests, a new local folder is taken.  A stream that fails raises.
+    share; where it is unset on a local master, as in tests, a new local folder is taken.  On a cluster that is an
+    error.  A stream that fails raises.  ``delete_streams`` removes what has been written.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
     path = f"{base.rstrip('/')}/larkspur-streams/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
     run.option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
