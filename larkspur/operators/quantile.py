@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float], *, cells: int = 4096, few: int = 10_000) -> list[float | None]:
-    """The interpolated quantiles of ``column``, a number; nulls and NaN are left out.  None where no value is left.
+    """The interpolated quantiles of ``column``, a number; nulls, NaN and infinities are left out.  None where no value is left.
 
     Each wanted rank is closed in on: a pass counts the values in ``cells`` equal cells of the range still
     possible, and goes on in the one that holds the rank, until ``few`` values or one are left.  What
     reaches the driver is bounded by these two numbers.
     """
     value = F.col(f"`{column}`").cast("double")
-    values = df.select(value.alias("v")).where("v is not null and not isnan(v)")
+    values = df.select(value.alias("v")).where((F.col("v") > float("-inf")) & (F.col("v") < float("inf")))
     n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
 
     def at(rank: int, lo: float, hi: float) -> float:
         below = 0
         while lo < hi:
             inside = values.where(F.col("v").between(lo, hi))
-            cell = F.least(F.floor((F.col("v") - lo) / F.lit(hi - lo) * cells), F.lit(cells - 1))
+            part = 1.0 if math.isfinite(hi - lo) else 0.5  # so that the width is a finite number
+            place = (F.col("v") * part - lo * part) / F.lit(hi * part - lo * part)
+            cell = F.least(F.floor(place * cells), F.lit(cells - 1))
             counted = inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             for r in sorted(counted.collect()):
                 if rank < below + r["k"]:

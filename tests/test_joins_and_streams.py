@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.as_of import as_of_join
 from larkspur.operators.interval import interval_join
+from larkspur.operators.quantile import exact_quantiles
 from larkspur.streaming.last_seen import last_mark
 from larkspur.streaming.runs import event_stream, finished
 
@@ -72,3 +73,34 @@ def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
 def test_event_stream_reads_the_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     assert finished(event_stream(spark, folder), "all").count() == spark.read.parquet(f"{folder}/events.parquet").count()
+
+
+def test_as_of_join_equals_a_loop_with_nulls_and_in_stretches(spark):
+    draw = random.Random(9)
+    some = lambda n: [(draw.choice([0, 1, None]), draw.choice([None, *range(0, 4000, 37)]), k) for k in range(n)]
+    lefts, rights = some(120), some(90)
+    left = spark.createDataFrame([(g, at(t), k, k) for g, t, k in lefts], "g long, t timestamp_ntz, id long, v long")
+    right = spark.createDataFrame([(g, at(t), k) for g, t, k in rights], "g long, t timestamp_ntz, v long")
+    want = {}
+    for g, t, k in lefts:
+        before = [(u, v) for h, u, v in rights if None not in (g, t, u) and h == g and u <= t]
+        want[k] = max(before)[1] if before else None
+    for width in (None, 60, 1000, 10**6):
+        got = as_of_join(left, right, by=["g"], on="t", width=width)
+        assert got.columns == ["g", "t", "id", "v", "v_right"]
+        rows = got.collect()
+        assert {r["id"]: r["v_right"] for r in rows} == want and len(rows) == len(lefts) and all(r["v"] == r["id"] for r in rows)
+        assert as_of_join(left, right.where("false"), by=["g"], on="t", width=width).where("v_right is not null").count() == 0
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    values = [*rng.lognormal(3, 4, 3000).tolist(), *[7.0] * 2000, -1e300, 1e300]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan"), float("inf")]], "x double")
+    shares = [0.0, 0.1, 0.5, 0.777, 1.0]
+    got = exact_quantiles(df, "x", shares, cells=16, few=40)
+    assert np.allclose(got, np.quantile(values, shares), rtol=1e-12)
+    assert exact_quantiles(df.where("false"), "x", [0.5]) == [None]
+
