@@ -79,6 +79,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 counts in each text, before any distance."""
+    rows = op7_quality_rules(spark, sf_dir)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def language_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 says of each text beside the model's score."""
+    rows = op4_lm_scoring(spark, sf_dir)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -90,9 +102,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "quality_counts": quality_counts,
+    "language_base": language_base,
 }
 
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# CRC-32 of a doc_id's digits, a bit at a time
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substring(doc_id::varchar, i, 1))::bigint),
+          lambda c, x: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x)), 4294967295::bigint))"""
+
 ORACLES: dict[str, str] = {
+    "op5_minhash_near_dedup": f"""
+        WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM texts),
+        sizes AS (SELECT doc_id, len(shingles) AS n FROM sets),
+        each AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached(doc_id, c) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT b, c FROM reached JOIN ways ON a = doc_id WHERE c < b)
+        SELECT doc_id, any_value(n)::bigint AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept
+        FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op8_substring_dedup": f"""
+        WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM texts)),
+        often AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM windows JOIN often USING (w)),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM each ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(words)::bigint AS n_words, (len(words) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)""",
+    "quality_counts": f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+        windows AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM texts)),
+        often AS (SELECT doc_id, w FROM windows GROUP BY ALL HAVING count(*) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS pos FROM windows JOIN often USING (doc_id, w)) GROUP BY doc_id)
+        SELECT doc_id, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars,
+               (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
+               coalesce(n, 0)::bigint AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
+        FROM texts JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    "language_base": f"""
+        WITH texts AS (SELECT doc_id, list_append({_WORDS.format(_LOWER)}, '') AS tokens, {_CRC} % 7 = 2 AS held_out FROM documents),
+        each AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM texts),
+        counts AS (SELECT token, count(*) AS c FROM each WHERE NOT held_out GROUP BY token),
+        whole AS (SELECT sum(c) AS n, count(*) AS v FROM counts)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::bigint AS train_tokens,
+               round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+        FROM each LEFT JOIN counts USING (token) CROSS JOIN whole GROUP BY doc_id, held_out""",
     "op9_line_dedup": """
         WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         every AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM texts),

@@ -234,7 +234,7 @@ def mentions(text: str, roster: Iterable[tuple[str, str]] = ()) -> list[tuple[in
 
     A person's names count wherever they stand in a text that has them once behind a form of address, or
     that holds a name of the ``roster`` (names of two or three words, with f or m): the last name as
-    ``name:surname``, those before it as ``name:f`` or ``name:m``.  A blank to fill in, as ``Password: ________``,
+    ``name:surname``, those before it as ``name:f`` or ``name:m``, in capitals too.  A blank to fill in, as ``Password: ________``,
     has nothing to replace and is no entity.
     """
     names: dict[str, str] = {}
@@ -255,6 +255,7 @@ def mentions(text: str, roster: Iterable[tuple[str, str]] = ()) -> list[tuple[in
                 found.append((m.start(group), m.end(group), kind))
         elif kind != "email" or any(map(str.isalnum, m[0].rpartition(".")[0])):
             found.append((m.start(), m.end(), kind))
+    names |= {name.upper(): kind for name, kind in names.items() if len(name) > 1 and name.upper() not in names}
     if names:
         taken = iter([*found, (len(text) + 1, len(text) + 1, "")])
         begin, end, _ = next(taken)
