@@ -98,11 +98,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, *, lower: bool = False) -> W
     return Words(_LOWER[data] if lower else data, start, end, np.searchsorted(start, offsets))
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about ``most`` bytes: first text, end, their bytes, their offsets."""
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20, texts: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most ``texts`` whole texts of about ``most`` bytes: first text, end, their bytes, their offsets."""
     k, n = 0, len(offsets) - 1
     while k < n:
-        j = max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, side="right")) - 1)
+        j = min(k + texts, max(k + 1, int(np.searchsorted(offsets, offsets[k] + most, side="right")) - 1))
         yield k, j, data[offsets[k] : offsets[j]], offsets[k : j + 1] - offsets[k]
         k = j
 

@@ -35,7 +35,8 @@ from ._text import U, join_hashes, mix, pieces, seeded, texts_of, window_hashes,
 WORDS, BANDS, ROWS, NUMERATOR = 5, 64, 6, 75
 _EMPTY = U(2**64 - 1)
 LEAST_AGREED = 0.65
-SKETCHES, SHINGLES = 4096, 1 << 21  # a block has at most about twice as many, of one row at least
+SKETCHES, SHINGLES = 4096, 1 << 19  # a block has at most about twice as many, of one row at least
+TOGETHER = 1024  # rows of small blocks that are looked at together
 SALTS = 64  # a hub's rows are dealt over so many keys
 _SKETCHES = "doc_id long, n_shingles long, class_a long, class_b long, bands array<long>, sketch binary"
 
@@ -124,7 +125,7 @@ def _bytes(column: pa.Array) -> np.ndarray:
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = texts_of(batch.column("text"))
-        for k, j, part, begin in pieces(data, offsets):
+        for k, j, part, begin in pieces(data, offsets, 2 << 20, 1024):
             values, first, classes = shingle_sets(part, begin)
             sketch = sketches(values, first)
             bands = band_hashes(sketch).view(np.int64)
@@ -175,7 +176,7 @@ class _Sets:
 
     def __init__(self, table: pa.Table) -> None:
         parts, size = [], []
-        for _, _, data, offsets in pieces(*texts_of(table.column("payload"))):
+        for _, _, data, offsets in pieces(*texts_of(table.column("payload")), 2 << 20):
             values, first, _ = shingle_sets(data, offsets)
             parts.append(values)
             size.append(np.diff(first))
@@ -208,22 +209,25 @@ def _forest(kind: type, within: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     def flush(table: pa.Table) -> pa.RecordBatch:
         block = np.stack([table.column(c).to_numpy() for c in _BLOCK])
         outlier, doc, label = (table.column(c).to_numpy() for c in ("outlier", "doc", "label"))
-        held = kind(table)
         edges = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0).any(0), [True]]))
         found: list[tuple[int, int]] = []
+        held, base, end = None, 0, 0
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi > end:
+                base, end = lo, max(hi, int(edges[np.searchsorted(edges, lo + TOGETHER, side="right") - 1]))
+                held = kind(table.slice(base, end - base))
             own = label[lo:hi].copy()
             if (own == own[0]).all():
                 continue
-            held.open_block(lo, hi)
-            size, cut = held.size[lo:hi], int(outlier[lo:hi].sum())
+            held.open_block(lo - base, hi - base)
+            size, cut = held.size[lo - base : hi - base], int(outlier[lo:hi].sum())
             for o in range(cut):
                 begin = o + 1 if within else cut
                 least, most = np.minimum(size[begin:], size[o]), np.maximum(size[begin:], size[o])
                 at = begin + np.flatnonzero((own[begin:] != own[o]) & (100 * least >= NUMERATOR * most) & (least > 0))
                 if not len(at):
                     continue
-                at = held.matches(lo + o, lo + at) - lo
+                at = held.matches(lo - base + o, lo - base + at) - (lo - base)
                 labels, first = np.unique(own[at], return_index=True)
                 found += [(int(doc[lo + o]), int(doc[lo + x])) for x in at[first]]
                 own[np.isin(own, labels)] = own[o]
