@@ -8,9 +8,11 @@ anchors at the same offset, so a window repeats no more often than its anchor.
 groups exactly, by 128 bits of hash, the windows whose anchor is estimated to occur twice or more; none
 that repeats is lost, and those that don't are few while the sketch isn't full.  The windows of one anchor
 travel together, as do their answers.  Windows that a task finds twice itself are answered there and sent
-once, so of a passage that a third of all documents hold a piece of input sends one copy.
+once, so of a passage that a third of all documents hold a piece of input sends one copy.  An anchor that the
+sketch has ``HOT`` times or more can have too many windows for one task: these travel singly, each to where equal
+ones meet, and there only a bounded number is held.
 
-Only the sketch's "twice or more" bits are broadcast, at most 2 rows of ``MOST_COUNTERS`` bits; a corpus
+Only the sketch's "twice or more" and "hot" bits are broadcast, at most 4 rows of ``MOST_COUNTERS`` bits; a corpus
 beyond what these tell apart sends more windows to the exact grouping and gives the same result.
 """
 
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from ._text import U, Words, mix, pieces, seeded, texts_of, window_hashes, words
 
 WINDOW, GRAM = 35, 24  # a mask has a bit for each place of a gram in a window: at most 31
 LEAST_COUNTERS, MOST_COUNTERS, SLICE = 1 << 20, 1 << 29, 1 << 20
+HOT, HELD = 1 << 16, 1 << 17  # HELD: equal windows that wait in a task, about
 _SEEDS = (seeded(31), seeded(32))
 
 
@@ -59,8 +63,9 @@ def _slots(anchors: np.ndarray, counters: int) -> Iterator[np.ndarray]:
         yield (mix(anchors + seed) & U(counters - 1)).astype(np.int64)
 
 
-def sketch(docs: DataFrame, counters: int, *, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The two rows' bits of counters that have counted two or more anchors."""
+def sketch(docs: DataFrame, counters: int, *, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """Bits of counters by limit and row: those that have counted two or more anchors, and HOT or more."""
+    hot = HOT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,25 +81,27 @@ def sketch(docs: DataFrame, counters: int, *, window: int = WINDOW, gram: int =
                         [
                             pa.array(row * (counters // SLICE) + some),
                             pa.array([(slot[cut[s] : cut[s + 1]] - s * SLICE).astype(np.int32).tobytes() for s in some], pa.binary()),
-                            pa.array([np.minimum(times[cut[s] : cut[s + 1]], 2).astype(np.uint8).tobytes() for s in some], pa.binary()),
+                            pa.array([np.minimum(times[cut[s] : cut[s + 1]], 0xFFFF).astype(np.uint16).tobytes() for s in some], pa.binary()),
                         ],
                         names=["slice", "slots", "times"],
                     )
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLICE, np.uint8)
+        total = np.zeros(SLICE, np.int32)
         for batch in batches:
             for slots, times in zip(batch.column("slots").to_pylist(), batch.column("times").to_pylist(), strict=True):
                 at = np.frombuffer(slots, np.int32)
-                total[at] = np.minimum(total[at] + np.frombuffer(times, np.uint8), 2)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["slice", "bits"])
+                total[at] = np.minimum(total[at] + np.frombuffer(times, np.uint16), hot)
+        bits = [pa.array([np.packbits(total >= limit).tobytes()], pa.binary()) for limit in (2, hot)]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), *bits], names=["slice", "twice", "hot"])
 
     parts = docs.select("text").mapInArrow(count, "slice long, slots binary, times binary")
-    bits = np.zeros((2, counters // 8), np.uint8)
-    for r in parts.groupBy("slice").applyInArrow(add, "slice long, bits binary").toLocalIterator():
+    bits = np.zeros((2, 2, counters // 8), np.uint8)
+    for r in parts.groupBy("slice").applyInArrow(add, "slice long, twice binary, hot binary").toLocalIterator():
         row, k = divmod(r["slice"], counters // SLICE)
-        bits[row, k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return bits[0], bits[1]
+        for limit, name in enumerate(("twice", "hot")):
+            bits[limit, row, k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(r[name], np.uint8)
+    return bits
 
 
 def _test(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -120,16 +127,17 @@ def _found_twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _RUNS = "gram long, doc_id long, text_hash long, pos int, mask int, windows binary"
 
 
-def likely_windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Runs of windows with one anchor that is estimated to occur twice or more.
 
     ``pos`` is the run's first window, ``mask`` has a bit for each that the task has found twice itself,
     ``windows`` their hashes; it is empty, and ``gram`` any value, where no other task needs to see them.
+    A window of a hot anchor is a run of its own, with its own hash as ``gram``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sent.value
+        limits = sent.value
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_hash")
             for k, _, data, offsets in pieces(*texts_of(batch.column("text")), 8 << 20):
@@ -137,19 +145,21 @@ def likely_windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], *, wind
                 starts, anchor, grams = _windows(words, window, gram)
                 if not len(starts):
                     continue
-                likely = np.ones(len(starts), bool)
-                for row, slots in zip(rows, _slots(grams[anchor], 8 * len(rows[0])), strict=True):
-                    likely &= _test(row, slots)
-                at, anchor = starts[likely], anchor[likely]
+                likely, hot = np.ones(len(starts), bool), np.ones(len(starts), bool)
+                for twice_bits, hot_bits, slots in zip(*limits, _slots(grams[anchor], 8 * limits.shape[2]), strict=True):
+                    likely &= _test(twice_bits, slots)
+                    hot &= _test(hot_bits, slots)
+                at, anchor, hot = starts[likely], anchor[likely], hot[likely]
                 if not len(at):
                     continue
                 hashes = window_hashes(words.hashes(11), window)[at]
                 twice, first = _found_twice(grams[anchor], hashes)
-                edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                edges = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | hot[1:]]))
                 size = np.diff(np.concatenate([edges, [len(at)]]))
                 mask = np.bitwise_or.reduceat(twice.astype(np.int32) << (at - np.repeat(at[edges], size)).astype(np.int32), edges)
                 send = np.logical_or.reduceat(~twice | first, edges)
-                key = np.where(send, grams[anchor[edges]], mix(at[edges].astype(U))).view(np.int64)
+                key = np.where(hot[edges], mix(hashes[edges]), grams[anchor[edges]])
+                key = np.where(send, key, mix(at[edges].astype(U))).view(np.int64)
                 text = np.searchsorted(words.first, at[edges], side="right") - 1
                 which = pa.array(k + text)
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(which), keys.take(which), pa.array((at[edges] - words.first[text]).astype(np.int32)), pa.array(mask), _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))], names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
@@ -158,7 +168,11 @@ def likely_windows(docs: DataFrame, bits: tuple[np.ndarray, np.ndarray], *, wind
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The masks of runs, sorted by gram, with the windows that other runs hold as well."""
+    """The masks of runs, sorted by gram, with the windows that other runs hold as well.
+
+    Runs with one gram wait for the last of them.  Only if they are many, and all one and the same window, are they
+    answered before: two rows of it are enough to know, so one waits for those to come.
+    """
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -188,6 +202,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif cut:
             yield flush([batch.slice(0, cut)])
         held.append(batch.slice(cut))
+        if sum(map(len, held)) > HELD:
+            rest = pa.Table.from_batches(held).filter(pc.greater(pc.binary_length(pa.Table.from_batches(held).column("windows")), 0))
+            if len(rest) > 1 and len(rest.column("windows").unique()) == 1 and pc.binary_length(rest.column("windows")[0]).as_py() == 8:
+                yield flush(held)
+                held = rest.slice(len(rest) - 1).to_batches()
     if held:
         yield flush(held)
 
@@ -197,7 +216,7 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
 
     Each word covered by a window of ``window`` words whose words also stand in a row anywhere else, in
     the same text or another row's, goes; windows are judged on the input.  Null and empty texts have no
-    words.  Rows that repeat doc_id and text repeat each other's windows and lose them all.
+    words.  Very long texts are searched whole.  Other columns are not looked at.  Rows that repeat doc_id and text repeat each other's windows and lose them all.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
