@@ -15,7 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -142,22 +142,26 @@ def _blank_words(data: np.ndarray, offsets: np.ndarray) -> Words:
 class Codec:
     """A model's tokenizer beside the sentencepiece library, with the words encoded so far."""
 
-    CACHED = 1 << 19
+    CACHED = 1 << 17
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
 
         self.model = parse_model(data)
-        self.tokenizer = build_tokenizer(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and not self.model.squeeze and not self.model.charsmap and self.model.dummy_prefix
         self.words = build_tokenizer(self.model)
+        self.by_word = self.words.pre_tokenizer is not None and not self.model.squeeze and not self.model.charsmap and self.model.dummy_prefix
         self.words.normalizer = self.words.pre_tokenizer = None
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.model.pieces]
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
         self.piece_ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         self.forget()
 
+    @cached_property
+    def tokenizer(self):
+        """For whole texts; where words are enough few tasks need it, and a worker is spared its memory."""
+        return build_tokenizer(self.model)
+
     def forget(self) -> None:
         self.known: dict[int, int] = {}  # a word's hash -> its place in the next three
         self.pool, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
