@@ -103,6 +103,17 @@ class _Ends:
             low, high = (low, middle) if fits(middle) else (middle + 1, high)
         return low
 
+    def _share(self, at: int, shards: int) -> float:
+        """An even share of what comes after ``at``, but for groups that are larger than it and take a shard each."""
+        first = int(np.searchsorted(self.at, at))
+        size, left = np.diff(self.at[first:])[self.grain[first:-1] == 0], float(self.at[-1] - at)
+        share = left / shards
+        while True:
+            large = size[size > share]
+            if len(large) >= shards or share == (new := (left - large.sum()) / (shards - len(large))):
+                return share
+            share = new
+
     def even(self, capacity: int, shards: int) -> list[int]:
         """Ends of at most ``shards`` runs of a capacity that suffices, as even as the known ends allow.
 
@@ -123,8 +134,8 @@ class _Ends:
                 low = int(np.searchsorted(self.at, begin, side="left"))
                 low = max(low, int(np.searchsorted(self.at, at, side="right")))
                 some = self.at[low : int(np.searchsorted(self.at, most, side="right"))]
-                share = at + (total - at) / (shards - k)
-                at = int(some[np.abs(some - share).argmin()]) if len(some) else max(at, begin)
+                goal = at + self._share(at, shards - k)
+                at = int(some[np.abs(some - goal).argmin()]) if len(some) else max(at, begin)
             ends.append(at)
         return ends
 
