@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(vectors, anchors="vec_id % 100 = 0")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    rows, codebooks = compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    said = hashlib.sha256(",".join(str(x) for x in codebooks.ravel().tolist()).encode()).hexdigest()
+    # labels are few: one row each
+    errors = rows.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "l")
+    both = rows.join(errors, F.col("label").eqNullSafe(F.col("l")))
+    return both.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(said).alias("codebooks_sha256"))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op7 counts in each text, before any distance."""
     rows = op7_quality_rules(spark, sf_dir)
@@ -102,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_vector_codes": op13_vector_codes,
     "quality_counts": quality_counts,
     "language_base": language_base,
 }
@@ -112,7 +135,38 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _CRC = """xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substring(doc_id::varchar, i, 1))::bigint),
           lambda c, x: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x)), 4294967295::bigint))"""
 
+_WHOLE = """embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+_FLOORS = "list_transform(embedding, lambda x: floor(256 * x::double))"
+
+
+def _lloyd(rounds: int, parts: int = 16, entries: int = 64) -> str:
+    """The steps of op13 in SQL: assignments and means in turn, one pair of subqueries a round."""
+    nearest = """near{k} AS (SELECT i, p, min(d) AS d, arg_min(e, (d, e)) AS e FROM (
+            SELECT i, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) ** 2)) AS d FROM cut JOIN books{k} USING (p)) GROUP BY i, p)"""
+    means = """books{n} AS (SELECT p, e, coalesce(m, c) AS c FROM books{k} LEFT JOIN (
+            SELECT p, e, list(m ORDER BY z) AS m FROM (SELECT p, e, z, floor(sum(x) / count(*)) AS m
+                FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS z FROM cut JOIN near{k} USING (i, p)) GROUP BY p, e, z) GROUP BY p, e) USING (p, e))"""
+    steps = [f"""rows AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, {_FLOORS} AS v FROM embeddings WHERE {_WHOLE}),
+        cut AS (SELECT i, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS v FROM (SELECT i, v, unnest(range({parts})) AS p FROM rows)),
+        books0 AS (SELECT p, i - 1 AS e, v AS c FROM cut WHERE i <= {entries})"""]
+    for k in range(rounds):
+        steps += [nearest.format(k=k), means.format(k=k, n=k + 1)]
+    steps.append(nearest.format(k=rounds))
+    return "WITH " + ",\n        ".join(steps) + f""",
+        coded AS (SELECT i, string_agg(lower(printf('%02x', e::int)), '' ORDER BY p) AS code, sum(d)::bigint AS error FROM near{rounds} GROUP BY i),
+        said AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::bigint), ','), ',' ORDER BY p, e)) AS h FROM books{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error, h AS codebooks_sha256 FROM coded JOIN rows USING (i) CROSS JOIN said"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH kept AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label::bigint + 1) % 10 ELSE label END AS label, {_FLOORS} AS v
+                      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_WHOLE}),
+        scored AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::bigint AS s FROM kept a JOIN kept b ON a.id % 100 = 0 AND a.id <> b.id),
+        near AS (SELECT a, b AS p, s AS t FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+        SELECT a AS anchor_id, p AS positive_id, (row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b))::int AS rank, b AS negative_id, t AS positive_score, s AS negative_score
+        FROM near JOIN scored USING (a) WHERE NOT same AND 80 * t <= 100 * s AND 100 * s <= 100 * t QUALIFY rank <= 5""",
+    "op13_vector_codes": _lloyd(2),
     "op5_minhash_near_dedup": f"""
         WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents),
         sets AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))

@@ -18,7 +18,8 @@ def plain(value):
 def test_query_equals_its_sql(spark, name):
     got = QUERIES[name](spark, DATA)
     base = duckdb.connect()
-    base.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        base.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     said = base.sql(ORACLES[name])
     order = sorted(got.columns)
     assert order == sorted(said.columns)
