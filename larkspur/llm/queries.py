@@ -89,6 +89,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors, anchors="vec_id % 100 = 0")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan, train
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = scan(docs, train(docs))
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secrets")).alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import compress
 
@@ -106,6 +117,12 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often op12's patterns match, and whether anything was added to them."""
+    rows = op12_secret_scan(spark, sf_dir)
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", (F.size(F.filter(F.split("spans", ","), lambda s: s != "")) >= F.col("n_assign") + F.col("n_access") + F.col("n_hex")).alias("all_there"))
+
+
 def language_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 says of each text beside the model's score."""
     rows = op4_lm_scoring(spark, sf_dir)
@@ -124,9 +141,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_secret_scan": op12_secret_scan,
     "op13_vector_codes": op13_vector_codes,
     "quality_counts": quality_counts,
     "language_base": language_base,
+    "secret_counts": secret_counts,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -198,6 +217,11 @@ ORACLES: dict[str, str] = {
                (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
                coalesce(n, 0)::bigint AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
         FROM texts JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    "secret_counts": """
+        WITH found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS a,
+                              regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') AS k, regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') AS h FROM documents)
+        SELECT doc_id, len(list_filter(a, lambda x: length(x) >= 8))::bigint AS n_assign, len(list_filter(k, lambda x: length(x) >= 16))::bigint AS n_access,
+               len(list_filter(h, lambda x: length(x) >= 32))::bigint AS n_hex, true AS all_there FROM found""",
     "language_base": f"""
         WITH texts AS (SELECT doc_id, list_append({_WORDS.format(_LOWER)}, '') AS tokens, {_CRC} % 7 = 2 AS held_out FROM documents),
         each AS (SELECT doc_id, held_out, unnest(tokens) AS token FROM texts),
