@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.plans.registry import query
+from larkspur.sources.tables import table
 from larkspur.streaming.last_seen import last_mark
-from larkspur.streaming.runs import event_stream, finished
+from larkspur.streaming.recent_marks import recent_mark
+from larkspur.streaming.runs import event_stream, finished, finished_in_batches, rocksdb_state, run_in_batches, stream_path
+from larkspur.streaming.upsert import UpsertTable
 
 
 @query("""
@@ -71,3 +74,70 @@ def stream_last_click(spark: SparkSession, folder: str) -> DataFrame:
     rows = event_stream(spark, folder).where(F.col("event_type").isin("click", "purchase"))
     found = finished(last_mark(rows, by="user_id", on="ts", id="event_id", marks="event_type = 'click'"), "last_click")
     return found.select(F.col("id").alias("event_id"), F.col("mark_id").alias("click_id"))
+
+
+def _arrivals(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The events in five batches of a fixed order: about eight days each, but one event in ten comes a batch late and one in ten two."""
+    events = table(spark, folder, "events").withColumn("arrival", F.expr(_ARRIVAL)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return [events.where(F.col("arrival") == k).drop("arrival") for k in range(5)]
+
+
+# a whole number of days since the start of 2024, by eight
+_ARRIVAL = """least(4, greatest(0, cast(floor(datediff(ts, DATE'2024-01-01') / 8) as int)) + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END)"""
+_SQL_ARRIVALS = """
+    arrivals AS (SELECT *, least(4, greatest(0, floor(date_diff('day', DATE '2024-01-01', ts::date) / 8)::int) + CASE event_id % 10 WHEN 3 THEN 1 WHEN 7 THEN 2 ELSE 0 END) AS batch FROM events),
+    latest AS (SELECT k AS batch, date_trunc('millisecond', max(ts)) - INTERVAL {delay} AS mark FROM arrivals JOIN range(6) r(k) ON batch < k GROUP BY k)"""
+
+
+@query(f"""
+    WITH {_SQL_ARRIVALS.format(delay="9 DAY")},
+    taken AS (SELECT a.*, time_bucket(INTERVAL 1 DAY, ts) AS day FROM arrivals a LEFT JOIN latest l USING (batch) WHERE mark IS NULL OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > mark)
+    SELECT event_type, day, count(*) AS n, round(sum(value), 4) AS total FROM taken
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(mark) FROM latest) GROUP BY event_type, day""")
+def stream_late_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily sums over batches in disorder: rows of days that the watermark has closed before their batch are left out."""
+
+    def days(rows: DataFrame) -> DataFrame:
+        counted = rows.withWatermark("ts", "9 days").groupBy("event_type", F.window("ts", "1 day").alias("w"))
+        return counted.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+    out, _ = finished_in_batches(_arrivals(spark, folder), days, "late-days")
+    return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
+
+
+@query(f"""
+    WITH {_SQL_ARRIVALS.format(delay="9 DAY")}
+    SELECT event_id, ts FROM arrivals JOIN latest USING (batch) WHERE ts <= mark""")
+def stream_dropped_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The events that a deduplicating stream has left out, as they came behind the watermark."""
+    out, _ = finished_in_batches(_arrivals(spark, folder), lambda rows: rows.withWatermark("ts", "9 days").dropDuplicatesWithinWatermark(["event_id"]), "taken")
+    return table(spark, folder, "events").join(out.select("event_id"), "event_id", "left_anti").select("event_id", "ts")
+
+
+@query("""
+    SELECT p.event_id, CASE WHEN p.ts - c.ts <= INTERVAL 12 HOUR THEN c.event_id END AS click_id
+    FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""")
+def stream_recent_click(spark: SparkSession, folder: str) -> DataFrame:
+    """The user's last click within twelve hours before each purchase; a click's state ends when no purchase can need it."""
+    events = table(spark, folder, "events").where(F.col("event_type").isin("click", "purchase")).withColumn("ts", F.col("ts").cast("timestamp"))
+    part = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8)))
+    weeks = [events.where(part == k) for k in range(4)]
+    with rocksdb_state(spark):
+        out, _ = finished_in_batches(weeks, lambda rows: recent_mark(rows, by="user_id", on="ts", id="event_id", marks="event_type = 'click'", within_seconds=12 * 3600, late_seconds=3600), "recent-click")
+    return out.select(F.col("id").alias("event_id"), F.col("mark_id").alias("click_id"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upserts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's last event, kept up to date over batches in disorder; every batch comes twice, as after a lost commit."""
+    batches = _arrivals(spark, folder)
+    path = stream_path(spark, "upserts")
+    newest = UpsertTable(spark, f"{path}/table", batches[0].schema, keys=["user_id"], order=["ts", "event_id"], buckets=4)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        newest.merge(batch, batch_id)
+        newest.merge(batch, batch_id)
+
+    run_in_batches(batches, lambda rows: rows.writeStream.foreachBatch(twice), path)
+    return newest.read().select("user_id", "event_id", "event_type", "value")
