@@ -56,9 +56,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_rules import apply_rules
+    from .quality_rules import apply_rules, labelled_rules
 
-    return apply_rules(_documents(spark, sf_dir)).drop("text", "lang", "source", "n_chars")
+    docs = _documents(spark, sf_dir)
+    rules = labelled_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return apply_rules(docs, rules).drop("text", "lang", "source", "n_chars")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,43 @@ def test_measured_rules_on_held_out_labels(spark):
     assert quality_rules.measured(docs.where("false")) == quality_rules.Rules()
 
 
+def test_query_on_held_out_labels(spark):
+    from larkspur.llm.queries import op7_quality_rules
+
+    data = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{data}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    rows = op7_quality_rules(spark, data).join(labels, "doc_id").where("not base_failed").select("quality", "kept").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    print(f"the query keeps of held-out rows {sum(good)} of {len(good)} good, {sum(bad)} of {len(bad)} bad")
+    assert sum(good) >= 0.998 * len(good) and sum(bad) <= 0.05 * len(bad)
+
+
+def test_a_filter_on_the_verdict_costs_no_more_than_the_verdict(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def took(condition):
+        began = time.time()
+        n = quality_rules.apply_rules(docs).where(condition).select("doc_id", "kept").collect()
+        return time.time() - began, n
+
+    took("true")
+    plain, rows = took("true")
+    filtered, kept = took("kept")
+    assert sorted(kept) == sorted(r for r in rows if r.kept) and 0 < len(kept) < len(rows)
+    assert filtered <= 2 * plain + 1, (filtered, plain)
+
+
+def test_rules_from_few_and_no_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    few, many = quality_rules.labelled_rules(docs, labels, most=5), quality_rules.labelled_rules(docs, labels)
+    assert 0 < len(few.references) <= 4 == len(many.references) and few.class_limit[0] > many.class_limit[0] - 0.05
+    odd = docs.selectExpr("doc_id", "cast(null as string) as text", "lang")
+    assert quality_rules.labelled_rules(docs, labels.where("quality > 1")) == quality_rules.Rules() == quality_rules.labelled_rules(odd, labels)
+
+
 def test_statistics_by_hand():
     text = "The cat sat.\nThe cat sat.\nIT is 42 of #1!"
     data = np.frombuffer((text + "é").encode(), np.uint8)
