@@ -33,6 +33,7 @@ from ._text import U, join_hashes, seeded, texts_of, words_of
 END = seeded(77)  # the end of a text, and the context of its first word
 KEPT, DELETED, TEST, MERGED = 0, 1, 2, 3  # of a block; MERGED: of a group of blocks, with counts of both sorts
 CONTEXTS = 24  # buckets of context frequency
+MOST_TASKS = 20_000  # of a shuffle, however large the input
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,7 @@ class Settings:
     deleted: int = 10
     rounds: int = 12
     direct_blocks: int = 1024
+    task_bytes: int = 16 << 20  # of text for each task that adds counts up
 
 
 @dataclass
@@ -135,13 +137,13 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
     return _table(_ANSWERS | _TOTALS, [*((*r, None, None, None, None) for r in rows), (key[0].as_py(), -1, b"", b"", *totals)])
 
 
-def _answers(counted: DataFrame, bits: int) -> DataFrame:
-    # partitions grow with the parts, whatever the session's number is: a task holds about four parts at any size
-    dealt = counted.repartition(max(1, (2 << bits) // 4), "part")
+def _answers(counted: DataFrame, tasks: int) -> DataFrame:
+    # a task takes its parts one after the other and holds one at a time
+    dealt = counted.repartition(tasks, "part")
     return stored(dealt.groupBy("part").applyInArrow(_added, _ddl(_ANSWERS | _TOTALS)), "counts")
 
 
-def _in_two_steps(blocks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def _in_two_steps(blocks: DataFrame, bits: int, tasks: int = 32) -> tuple[DataFrame, DataFrame]:
     """Answers for each block, and those for groups of blocks, which have the totals."""
     coarse = bits // 2
     group = F.expr(f"block div {3 << coarse}L").alias("grp")
@@ -163,7 +165,7 @@ def _in_two_steps(blocks: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         return _table(_ANSWERS, _answered(key[0].as_py(), table, trained, kept, spans))
 
     merged = counted.groupBy("part", "grp").applyInArrow(merge, _ddl(_COUNTED))
-    of_groups = _answers(merged, bits)
+    of_groups = _answers(merged, tasks)
     back = of_groups.where("block >= 0").select(F.expr(f"shiftright(part, {bits - coarse})").alias("part"), F.col("block").alias("grp"), F.col("part").alias("fine"), "trained", "kept")
     both = counted.groupBy("part", "grp").cogroup(back.groupBy("part", "grp"))
     return stored(both.applyInArrow(spread, _ddl(_ANSWERS)), "counts"), of_groups
@@ -230,13 +232,14 @@ def score_texts(docs: DataFrame, *, folds: int = 7, held: int = 2, settings: Set
     kind = F.when(out, TEST).when(crc("deleted") % settings.deleted == 0, DELETED).otherwise(KEPT)
     # by row, so that rows that repeat doc_id and text don't meet in one block
     place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n))
-    blocks = bucketed(rows.withColumn("block", place * 3 + kind), "texts", "block", min(3 * n, 20_000))
+    blocks = bucketed(rows.withColumn("block", place * 3 + kind), "texts", "block", min(3 * n, MOST_TASKS))
 
     bits = int(n).bit_length()
+    tasks = max(1, min(total // settings.task_bytes, MOST_TASKS))
     if n <= settings.direct_blocks:
-        answers = summed = _answers(_counted(blocks, bits), bits)
+        answers = summed = _answers(_counted(blocks, bits), tasks)
     else:
-        answers, summed = _in_two_steps(blocks, bits)
+        answers, summed = _in_two_steps(blocks, bits, tasks)
     totals = summed.where(f"block = -1 and part < {1 << bits}").agg(*(F.sum(c) for c in _TOTALS)).first()
     n_all, v_all, n_kept, v_kept = (x or 0 for x in totals)
 
