@@ -7,11 +7,15 @@ length, separators and check digits (Luhn, ISO 7064), addresses keep their netwo
 syllables of the same script, about as many, with case and hyphens as before and an ending that fits the gender.
 
 Found are e-mail addresses, secrets, IBANs, IPv4 addresses, numbers in the forms of US social security, card and
-telephone numbers, and persons.  A form of address that tells the gender gives a person away ("Mrs. Anna
-Schmidt").  Names of two or three words learnt so anywhere in the corpus, the roster, are found in all
-documents without it ("Anna Schmidt called"); there, as beside a form of address, each of the names then counts
-wherever it stands in the text.  Not found are persons whom no document addresses, single names away from their form
-of address, IPv6 addresses, and numbers in other groupings.
+telephone numbers (a version number or an ISBN of such a form counts as well), and persons.  A form of address that
+tells the gender gives a person away ("Mrs. Anna Schmidt").  In a text that addresses a person the full name and each
+of its words count wherever they stand, but words that the corpus mostly writes in small letters ("will", "new")
+only within the full name and behind the form of address.  Names of two or three words, none of them such a word,
+make the roster: in all other documents the full name counts, and nothing less.  Forms of address that are
+other things too (``_DOUBTFUL``: "Miss New York", "Sr Data Engineer") give no person away if a word of the name is such a
+word or one of ``_NO_NAMES``, and make the roster only from two documents on.  Not found are persons whom no
+document addresses, single names in other documents, neutral titles ("Dr."), IPv6 addresses, and numbers in other
+groupings.
 
 Distinctness is checked, not assumed: the distinct entities of the corpus are grouped by surrogate, and
 all but one of those that collide, and any that hit a real entity, try again until none does.  A format
@@ -39,9 +43,21 @@ from ._store import stored
 NARROW = 4  # attempts that keep the format's length
 _UPPER = "A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ"
 _NAME = rf"[{_UPPER}][^\W\d_]*(?:[-'’][^\W\d_]+)*"
-# Forms of address by the gender they tell.
+# Forms of address by the gender they tell, and those that mean other things too.
 _FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Señorita", "Sra", "Madame", "Mademoiselle", "Mme", "Mlle", "Госпожа", "Κυρία")
 _MALE = ("Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин", "Κύριος")
+_DOUBTFUL = ("Miss", "Madam", "Mister", "Sir", "Sr", "Sra")
+# Words that stand behind a doubtful form of address and are no names.
+_NO_NAMES = frozenset(
+    """account accountant administrator africa america analyst and architect asia associate australia britain business canada chair chairman chairwoman
+    chief china consultant coordinator costumer counsel data design designer developer devops director earth editor electrical embedded engineer
+    engineering england europe executive finance financial france frontend germany global grand greece hardware human india international ireland italy
+    japan judge justice lead london manager marketing mayor mechanical mexico minister network new north officer operations or partner president prince
+    principal product professor program programmer project quality research resources russia sales scientist secretary security sergeant software south spain
+    specialist speaker staff supreme systems teen technical technician texas the universe usa vice war western world york""".split()
+)
+# Given names that are words as well, at a sentence's start above all.
+_WORD_NAMES = frozenset("april art august bill bob chance chase christian dawn drew faith frank grace grant guy hope iris jack josh joy june lance major mark may miles nick page pat pierce ray rich rob rose skip sue summer violet wade will young".split())
 _PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w%+][\w.%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|key)[\"']?\s*[=:]\s*[\"']?)(?P<secret_value>[\w\-/+.]{8,})|\b(?P<secret_id>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_](?:live|test)[-_][A-Za-z0-9]{8,}|(?=[0-9a-f]*[a-f])(?=[a-f]*\d)[0-9a-f]{32,64}|(?=[0-9A-F]*[A-F])(?=[A-F]*\d)[0-9A-F]{32,64})\b",
@@ -50,13 +66,13 @@ _PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)",
-    "person": rf"\b(?P<title>{'|'.join((*_FEMALE, *_MALE))})\.?\s+(?P<names>{_NAME}(?:[^\S\n]+{_NAME}){{0,2}})",
 }
-_PERSON = re.compile(_PATTERNS["person"])
-_ADDRESS = re.compile("|".join((*_FEMALE, *_MALE)))
+_TITLES = "|".join((*_FEMALE, *_MALE))
+_PERSON = re.compile(rf"\b(?P<title>{_TITLES})\.?\s+(?P<names>{_NAME}(?:[^\S\n]+{_NAME}){{0,2}})")
+_ADDRESS, _BEHIND = re.compile(_TITLES), re.compile(rf"\b(?:{_TITLES})\.?\s+$")
 _RUN = re.compile(rf"\b{_NAME}(?:[^\S\n]+{_NAME})+")
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items()))
-_HINT = re.compile(rf"@|\d|(?i:token|password|passwd|pwd|secret|key)|{'|'.join((*_FEMALE, *_MALE))}")
+_HINT = re.compile(r"@|\d|(?i:token|password|passwd|pwd|secret|key)")
 # Letters of a class are replaced within it.
 _LETTERS = ("aeiou", "bcdfghjklmnprstvwz", "àáâäèéêëìíîïòóôöùúûü", "ñçß", "аеиоуыэюя", "бвгдзклмнпрстфх", "αεηιου", "βγδζκλμνπρστ")
 _CLASS = {c: letters for letters in _LETTERS for c in letters}
@@ -83,6 +99,22 @@ _SCRIPTS = (
 Entity = tuple[str, str]
 
 
+@dataclass(frozen=True)
+class Person:
+    """A person to be found in a text: names with one blank between them, f or m, whether the text itself addresses the person,
+    and the names, in small letters, that are words as well."""
+
+    name: str
+    gender: str
+    own: bool = True
+    words: frozenset[str] = frozenset()
+
+    def kinds(self) -> list[tuple[str, str]]:
+        """The names with their kinds: the last is the surname."""
+        parts = self.name.split()
+        return [(p, "name:surname" if k == len(parts) - 1 else f"name:{self.gender}") for k, p in enumerate(parts)]
+
+
 class _Stream:
     """Keyed choices, the same for the same key, entity and attempt."""
 
@@ -206,18 +238,11 @@ def _laid_out(kind: str, mention: str, value: str) -> str:
     return value
 
 
-def _parts_of(names: str, gender: str) -> dict[str, str]:
-    """The names of a person with their kinds: the last is the surname."""
-    parts = names.split()
-    return {p: "name:surname" if k == len(parts) - 1 else f"name:{gender}" for k, p in enumerate(parts)}
-
-
-def addressed(text: str) -> set[tuple[str, str]]:
-    """Names of two or three words behind a form of address, with one blank between them, and the gender it tells."""
+def addressed(text: str) -> set[tuple[str, str, bool]]:
+    """Names of one to three words behind a form of address, with one blank between them, the gender it tells, and whether it is a doubtful one."""
     if not _ADDRESS.search(text):
         return set()
-    found = ((m["names"].split(), m["title"]) for m in _PERSON.finditer(text))
-    return {(" ".join(names), "f" if title in _FEMALE else "m") for names, title in found if len(names) > 1}
+    return {(" ".join(m["names"].split()), "f" if m["title"] in _FEMALE else "m", m["title"] in _DOUBTFUL) for m in _PERSON.finditer(text)}
 
 
 def name_like(text: str) -> set[str]:
@@ -229,48 +254,62 @@ def name_like(text: str) -> set[str]:
     return out
 
 
-def mentions(text: str, roster: Iterable[tuple[str, str]] = ()) -> list[tuple[int, int, str]]:
-    """Begin, end and kind of the entities of a text, in order, not overlapping.
-
-    A person's names count wherever they stand in a text that has them once behind a form of address, or
-    that holds a name of the ``roster`` (names of two or three words, with f or m): the last name as
-    ``name:surname``, those before it as ``name:f`` or ``name:m``, in capitals too.  A blank to fill in, as ``Password: ________``,
-    has nothing to replace and is no entity.
+def _named(text: str, people: Iterable[Person]) -> Iterator[tuple[int, int, str]]:
+    """Begin, end and kind of each name of ``people`` that counts in the text, in order."""
+    known: dict[str, list[str]] = {}  # what to look for, and the kinds of its words
+    behind: set[str] = set()  # what counts behind a form of address only
+    for person in sorted(people, key=lambda p: (not p.own, p.name)):
+        kinds = person.kinds()
+        word = len(kinds) == 1 and person.name.lower() in person.words
+        if word and person.name not in known:
+            behind.add(person.name)
+        known.setdefault(person.name, [k for _, k in kinds])
+        for part, kind in kinds if person.own else ():
+            if part.lower() not in person.words:
+                known.setdefault(part, [kind])
+                behind.discard(part)
+    known |= {name.upper(): kinds for name, kinds in known.items() if len(name) > 1 and name.upper() not in known and name not in behind}
+    if not known:
+        return
+    longest_first = sorted(known, key=len, reverse=True)
+    blank = r"[^\S\n]+"
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(blank.join(map(re.escape, name.split())) for name in longest_first) + r")(?!\w)", text):
+        name = " ".join(m[0].split())
+        if name in behind and not _BEHIND.search(text[max(0, m.start() - 20) : m.start()]):
+            continue
+        for part, kind in zip(re.finditer(r"\S+", m[0]), known[name], strict=True):
+            yield m.start() + part.start(), m.start() + part.end(), kind
+
+
+def mentions(text: str, people: Iterable[Person] = ()) -> list[tuple[int, int, str]]:
+    """Begin, end and kind of the entities of a text, in order, not overlapping; of names those of ``people``.
+
+    Names are ``name:surname``, ``name:f`` or ``name:m``, in capitals too.  A blank to fill in, as ``Password: ________``, has
+    nothing to replace and is no entity.
     """
-    names: dict[str, str] = {}
-    for full, gender in sorted(roster):
-        for name, kind in _parts_of(full, gender).items():
-            names.setdefault(name, kind)
-    if not names and not _HINT.search(text):
-        return []
     found = []
-    for m in _ANY.finditer(text):
+    for m in _ANY.finditer(text) if _HINT.search(text) else ():
         kind = m.lastgroup if m.lastgroup in _PATTERNS else next(k for k in _PATTERNS if m[k] is not None)
-        if kind == "person":
-            for name, of in _parts_of(m["names"], "f" if m["title"] in _FEMALE else "m").items():
-                names.setdefault(name, of)
-        elif kind == "secret":
+        if kind == "secret":
             group = "secret_value" if m["secret_value"] is not None else "secret_id"
             if any(map(str.isalnum, m[group])):
                 found.append((m.start(group), m.end(group), kind))
         elif kind != "email" or any(map(str.isalnum, m[0].rpartition(".")[0])):
             found.append((m.start(), m.end(), kind))
-    names |= {name.upper(): kind for name, kind in names.items() if len(name) > 1 and name.upper() not in names}
-    if names:
-        taken = iter([*found, (len(text) + 1, len(text) + 1, "")])
-        begin, end, _ = next(taken)
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text):
-            while end <= m.start():
-                begin, end, _ = next(taken)
-            if m.end() <= begin:
-                found.append((m.start(), m.end(), names[m[0]]))
+    taken = iter([*found, (len(text) + 1, len(text) + 1, "")])
+    begin, end, _ = next(taken)
+    for name in _named(text, people):
+        while end <= name[0]:
+            begin, end, _ = next(taken)
+        if name[1] <= begin:
+            found.append(name)
     return sorted(found)
 
 
-def replaced(text: str, surrogate_of: Callable[[Entity], str], roster: Iterable[tuple[str, str]] = ()) -> tuple[str, list[str]]:
+def replaced(text: str, surrogate_of: Callable[[Entity], str], people: Iterable[Person] = ()) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds of its mentions."""
     out, at, kinds = [], 0, []
-    for begin, end, kind in mentions(text, roster):
+    for begin, end, kind in mentions(text, people):
         mention = text[begin:end]
         out += [text[at:begin], _laid_out(kind, mention, surrogate_of((kind, _canonical(kind, mention))))]
         at = end
@@ -283,27 +322,26 @@ def _rows(schema: dict[str, pa.DataType], rows: Iterable[tuple]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
 
 
-def _roster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = set().union(*(addressed(t) for t in batch.column("text").to_pylist()))
-        yield _rows({"name": pa.string(), "gender": pa.string()}, sorted(rows))
+def _of_rows(find: Callable[[str], Iterable], columns: dict[str, pa.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``find`` gives for each text, sorted, with the text's doc_id and hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
+            found = ((d, h, *x) for d, h, t in rows for x in sorted(find(t)))
+            yield _rows({"doc_id": pa.int64(), "text_hash": pa.int64()} | columns, found)
 
-def _name_like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True)
-        found = ((d, h, name) for d, h, t in rows for name in sorted(name_like(t)))
-        yield _rows({"doc_id": pa.int64(), "text_hash": pa.int64(), "name": pa.string()}, found)
+    return run
 
 
-def _pairs(column: pa.Array) -> list[list[tuple[str, str]]]:
-    return [[(x["name"], x["gender"]) for x in r or ()] for r in column.to_pylist()]
+def _people(column: pa.Array) -> list[list[Person]]:
+    return [[Person(x["name"], x["gender"], x["own"], frozenset(x["words"])) for x in r or ()] for r in column.to_pylist()]
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = {"doc_id": pa.int64(), "text_hash": pa.int64(), "kind": pa.string(), "value": pa.string()}
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), _pairs(batch.column("roster")), strict=True)
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), _people(batch.column("people")), strict=True)
         found = ((d, h, k, _canonical(k, t[a:b])) for d, h, t, r in rows for a, b, k in mentions(t, r))
         yield _rows(schema, dict.fromkeys(found))
 
@@ -338,26 +376,53 @@ def _joined(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
     return rows.join(found, same, "left").drop("of_id", "of_hash")
 
 
+_PEOPLE = "array<struct<name:string,gender:string,own:boolean,words:array<string>>>"
+_BLANK = "\\s+"
+
+
+def _words_among(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(word) of the words of ``names`` (name), in small letters, of which the texts write a quarter or more in small letters, and of the fixed lists."""
+    parts = names.select(F.explode(F.split(F.lower("name"), _BLANK)).alias("word")).distinct()
+    seen = rows.select(F.explode(F.split("text", "[^\\p{L}]+")).alias("w")).groupBy("w").count()
+    seen = seen.groupBy(F.lower("w").alias("word")).agg(F.sum("count").alias("n"), F.sum(F.when(F.col("w") == F.lower("w"), F.col("count")).otherwise(0)).alias("small"))
+    # a name with a hyphen or an apostrophe is no word of a text, so it is none of these
+    often = parts.join(seen, "word").where(4 * F.col("small") >= F.col("n")).select("word")
+    return often.unionByName(parts.where(F.col("word").isin(*sorted(_NO_NAMES | _WORD_NAMES)))).distinct()
+
+
 def known_names(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text_hash, text) with ``roster``: the corpus's addressed names of two or three words that a text holds.
+    """``rows`` (doc_id, text_hash, text) with ``people``: whom to look for in each text; see the module's text.
 
     A name that is addressed as both takes the first gender in order.  A corpus that addresses nobody is read once.
     """
-    people = rows.select("text").mapInArrow(_roster, "name string, gender string")
-    people = stored(people.groupBy("name").agg(F.min("gender").alias("gender")), "people")
-    if people.isEmpty():
-        return rows.withColumn("roster", F.lit(None).cast("array<struct<name:string,gender:string>>"))
-    # names spread by their text: a name that many documents hold is one row of people, and they are split in the join
-    likely = rows.mapInArrow(_name_like, "doc_id long, text_hash long, name string").join(people, "name")
-    by_doc = likely.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("name", "gender"))).alias("roster"))
-    return stored(_joined(rows, by_doc, "roster"), "named")
+    schema = "doc_id long, text_hash long, name string, gender string, doubtful boolean"
+    called = rows.mapInArrow(_of_rows(addressed, {"name": pa.string(), "gender": pa.string(), "doubtful": pa.bool_()}), schema)
+    called = stored(called.groupBy("doc_id", "text_hash", "name").agg(F.min("gender").alias("gender"), F.min("doubtful").alias("doubtful")), "addressed")
+    if called.isEmpty():
+        return rows.withColumn("people", F.lit(None).cast(_PEOPLE))
+    names = called.groupBy("name").agg(F.min("gender").alias("gender"), F.min("doubtful").alias("doubtful"), F.count("*").alias("docs"))
+    parts = names.select("name", F.explode(F.split("name", _BLANK)).alias("part")).select("name", F.lower("part").alias("word"))
+    words = parts.join(_words_among(rows, names), "word").groupBy("name").agg(F.sort_array(F.collect_set("word")).alias("words"))
+    names = names.join(words, "name", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    plain = F.size("words") == 0
+    names = stored(names, "names")
+    known = names.where(plain & (F.size(F.split("name", _BLANK)) > 1) & (~F.col("doubtful") | (F.col("docs") > 1)))
+    own = called.select("doc_id", "text_hash", "name", F.col("doubtful").alias("here")).join(names, "name").where(plain | ~F.col("here"))
+    own = own.withColumn("own", F.lit(True)).select("doc_id", "text_hash", "name", "gender", "own", "words")
+    # names spread by their text: a name that many documents hold is one row of names, and they are split in the join
+    likely = rows.mapInArrow(_of_rows(lambda t: ((n,) for n in name_like(t)), {"name": pa.string()}), "doc_id long, text_hash long, name string")
+    others = likely.join(known, "name").withColumn("own", F.lit(False)).select(own.columns)
+    both = own.unionByName(others).groupBy("doc_id", "text_hash", "name", "gender", "words").agg(F.max("own").alias("own"))
+    by_doc = both.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("name", "gender", "own", "words"))).alias("people"))
+    return stored(_joined(rows, by_doc, "people"), "named")
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) and kinds of each row of ``docs``.
 
     A null text stays null and an empty one empty, with no entities.  Repeated rows get equal results, and a null
-    doc_id is an id like others.  Very long texts are searched whole.  Other columns are left out, whatever their names.
+    doc_id is an id like others.  Ordinary prose stays as it is: see the module's text for what counts as a name where.
+    Very long texts are searched whole.  Other columns are left out, whatever their names.
     """
     if not key:
         raise ValueError("surrogates need a key")
@@ -376,10 +441,10 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             out = []
             columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "none", "later"))
-            for doc_id, text, none, later_of, roster in zip(*columns, _pairs(batch.column("roster")), strict=True):
+            for doc_id, text, none, later_of, people in zip(*columns, _people(batch.column("people")), strict=True):
                 attempts = {(x["kind"], x["value"]): x["attempt"] for x in later_of or ()}
-                new, found = replaced(text, lambda e: surrogate(key, *e, attempts.get(e, 0)), roster)  # noqa: B023
+                new, found = replaced(text, lambda e: surrogate(key, *e, attempts.get(e, 0)), people)  # noqa: B023
                 out.append((doc_id, None if none else new, len(found), sorted(set(found))))
             yield _rows(schema, out)
 
-    return rows.select("doc_id", "text", "none", "later", "roster").mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
+    return rows.select("doc_id", "text", "none", "later", "people").mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
