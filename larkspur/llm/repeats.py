@@ -32,6 +32,7 @@ from ._text import U, Words, mix, pieces, seeded, texts_of, window_hashes, words
 WINDOW, GRAM = 35, 24  # a mask has a bit for each place of a gram in a window: at most 31
 LEAST_COUNTERS, MOST_COUNTERS, SLICE = 1 << 20, 1 << 29, 1 << 20
 HOT, HELD = 1 << 16, 1 << 17  # HELD: equal windows that wait in a task, about
+PIECE = 4 << 20  # bytes of text looked at together
 _SEEDS = (seeded(31), seeded(32))
 
 
@@ -69,7 +70,7 @@ def sketch(docs: DataFrame, counters: int, *, window: int = WINDOW, gram: int =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in pieces(*texts_of(batch.column("text")), 8 << 20):
+            for _, _, data, offsets in pieces(*texts_of(batch.column("text")), PIECE):
                 _, anchor, grams = _windows(words_of(data, offsets), window, gram)
                 if not len(anchor):
                     continue
@@ -132,7 +133,7 @@ def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, g
 
     ``pos`` is the run's first window, ``mask`` has a bit for each that the task has found twice itself,
     ``windows`` their hashes; it is empty, and ``gram`` any value, where no other task needs to see them.
-    A window of a hot anchor is a run of its own, with its own hash as ``gram``.
+    A window of a hot anchor is a run of its own, with another hash of its words as ``gram``.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -140,7 +141,7 @@ def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, g
         limits = sent.value
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_hash")
-            for k, _, data, offsets in pieces(*texts_of(batch.column("text")), 8 << 20):
+            for k, _, data, offsets in pieces(*texts_of(batch.column("text")), PIECE):
                 words = words_of(data, offsets)
                 starts, anchor, grams = _windows(words, window, gram)
                 if not len(starts):
@@ -153,16 +154,21 @@ def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, g
                 if not len(at):
                     continue
                 hashes = window_hashes(words.hashes(11), window)[at]
+                # a hot anchor's windows go by a hash of their own, another than that which they are compared by
+                alone = window_hashes(words.hashes(12), window)[at] if hot.any() else hashes
                 twice, first = _found_twice(grams[anchor], hashes)
                 edges = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | hot[1:]]))
                 size = np.diff(np.concatenate([edges, [len(at)]]))
                 mask = np.bitwise_or.reduceat(twice.astype(np.int32) << (at - np.repeat(at[edges], size)).astype(np.int32), edges)
                 send = np.logical_or.reduceat(~twice | first, edges)
-                key = np.where(hot[edges], mix(hashes[edges]), grams[anchor[edges]])
+                key = np.where(hot[edges], alone[edges], grams[anchor[edges]])
                 key = np.where(send, key, mix(at[edges].astype(U))).view(np.int64)
                 text = np.searchsorted(words.first, at[edges], side="right") - 1
                 which = pa.array(k + text)
-                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(which), keys.take(which), pa.array((at[edges] - words.first[text]).astype(np.int32)), pa.array(mask), _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))], names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
+                place = (at[edges] - words.first[text]).astype(np.int32)
+                sent_windows = _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))
+                columns = [pa.array(key), ids.take(which), keys.take(which), pa.array(place), pa.array(mask), sent_windows]
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _RUNS)
 
