@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.plans import basics, measures, ordered, relational, scalars, streams, surface  # noqa: F401
+from larkspur.plans import basics, exchange, measures, ordered, relational, scalars, semistructured, streams, surface  # noqa: F401
 from larkspur.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -26,6 +26,16 @@ def stream_days(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", F.round("total", 4).alias("total"))
 
 
+@query("""
+    WITH each AS (SELECT value, unnest([time_bucket(INTERVAL 6 HOUR, ts), time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR]) AS start FROM events)
+    SELECT start AS start, count(*) AS n, round(sum(value), 4) AS total FROM each
+    WHERE start + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) FROM events) GROUP BY start""")
+def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    windows = event_stream(spark, folder).withWatermark("ts", "1 hour").groupBy(F.window("ts", "12 hours", "6 hours").alias("w"))
+    counted = finished(windows.agg(F.count("*").alias("n"), F.sum("value").alias("total")), "sliding")
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
 @query("""
     SELECT user_id, min(ts) AS opened, count(*) AS n FROM (
         SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (

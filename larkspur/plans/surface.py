@@ -15,6 +15,8 @@ from larkspur.operators.quantile import exact_quantiles
 from larkspur.plans.registry import query
 from larkspur.sources.tables import table
 
+MOST_LABELS = 4096  # whose centroids are broadcast
+
 
 @query("""
     SELECT n_nationkey, s_suppkey, s_acctbal FROM nation, LATERAL (
@@ -60,7 +62,9 @@ def nearest_centroids(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").withColumn("e", F.col("embedding").cast("array<double>"))
     means = vectors.select("label", F.posexplode("e").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg("x"), 6).alias("c"))
     centroids = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "c")))["c"].alias("c"))
-    # one row: a few labels of one vector each
+    # one row is sent to all tasks: labels are counted first, a class of vectors each
+    if centroids.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; use operators.nearest with their centroids as the index")
     every = centroids.agg(F.collect_list(F.struct("label", "c")).alias("centroids"))
     dot = lambda c: F.round(F.aggregate(F.zip_with("e", c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), 4)
     scored = F.transform("centroids", lambda x: F.struct(dot(x["c"]).alias("dot"), (-x["label"]).alias("order")))
@@ -82,12 +86,14 @@ def composed_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 @F.udtf(returnType=StructType().add("step", IntegerType()).add("paid", DoubleType()).add("rest", DoubleType()))
 class Instalments:
-    """Monthly payments of a price: a tenth of what is left, in whole units, until less than a limit is left."""
+    """Monthly payments of a price: a tenth of what is left, in whole units, until less than a limit is left or nothing is to pay."""
 
     def eval(self, price: float | None, limit: float) -> Iterator[tuple[int, float, float]]:
         step, rest = 0, price
         while rest is not None and rest >= limit:
             paid = float(rest // 10)
+            if paid <= 0:
+                return
             step, rest = step + 1, rest - paid
             yield step, paid, rest
 

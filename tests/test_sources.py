@@ -37,6 +37,17 @@ def test_broken_records_are_kept_aside(spark, tmp_path, fmt, text):
     assert [r["record"] for r in bad.collect()] == [text.split("\n")[1]]
 
 
+def test_broken_values_are_found_whatever_a_query_needs(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([("1", 2.0, "a"), ("x", 3.0, "a"), ("4", 5.0, "b")], "n string, v double, k string")
+    write_partitioned(rows, f"{tmp_path}/t", by=["k"], fmt="csv")
+    good, bad = read_checked(spark, f"{tmp_path}/t", StructType().add("n", "long").add("v", "double").add("k", "string"), fmt="csv", by=["k"])
+    assert good.agg(F.sum("v")).first()[0] == 7.0 and good.count() == 2 and bad.count() == 1
+    assert [(r.k, r["count"]) for r in bad.groupBy("k").count().collect()] == [("a", 1)]
+    assert good.where("k = 'b'").count() == 1
+    good.where("k = 'b'").explain()
+    assert "PartitionFilters: [isnotnull(k" in capsys.readouterr().out
+
+
 def test_statistics_of_small_groups(spark):
     rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 3.0), ("a", None, 9.0), ("b", -1.0, 0.0), ("c", 2.0, 1.0), ("c", 2.0, 1.0), ("c", 2.0, 1.0), ("c", 2.0, 1.0)], "g string, x double, w double")
     got = {r["g"]: r for r in rows.groupBy("g").agg(sample_skewness("x").alias("s"), sample_kurtosis("x").alias("k"), weighted_mean(F.col("x"), F.col("w")).alias("m"), geometric_mean(F.col("x")).alias("e")).collect()}
