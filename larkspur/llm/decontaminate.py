@@ -7,6 +7,10 @@ counts if ``window`` tokens that hold it agree in all but ``substitutions`` plac
 masks hit every window of 13 tokens with any two of them replaced (`tests/llm` goes through all).  An item
 of 8 to 12 tokens has no such window: its hits count if the document holds the whole item as it is.
 
+A key that more than ``crowd`` passages share, as a template's words are, would be laid beside all of them at each place of each
+document.  There the verification is itself a join: both sides hash every choice of agreeing tokens that
+would make an overlap (``_choices``), and equal hashes are the overlap, so passages with one hash are one row.
+
 Tokens are runs of letters and digits of the lower-cased text.  The hashes of the test side are
 broadcast only if there are at most ``broadcast_rows`` of them; beyond, the document windows are
 joined by a shuffle, in which Spark's runtime filter can prune them.
@@ -15,11 +19,13 @@ joined by a shuffle, in which Spark's runtime filter can prune them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._sql import text_of
+from ._store import stored
 
 _DOC = ("doc_id", "text_hash")
 
@@ -30,6 +36,7 @@ class Seeds:
     window: int = 13
     substitutions: int = 2
     broadcast_rows: int = 2_000_000  # of 8 bytes each
+    crowd: int = 32  # passages of a key that are laid beside a document's tokens one by one
 
     @property
     def span(self) -> int:
@@ -46,11 +53,11 @@ def token_hashes(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, seeds: Seeds) -> DataFrame:
-    """``rows`` (with ``h``, token hashes), once for each place ``at`` and mask: ``at`` and ``key``."""
+    """``rows`` (with ``h``, token hashes), once for each place ``at`` and ``mask``, with its ``key``."""
     places = F.when(F.size("h") >= seeds.span, F.sequence(F.lit(0), F.size("h") - seeds.span))
     each = rows.select("*", F.explode(places).alias("at"))
     keys = [F.xxhash64(F.lit(k), *(F.get(F.col("h"), F.col("at") + p) for p in mask)) for k, mask in enumerate(seeds.masks)]
-    return each.select("*", F.explode(F.array(*keys)).alias("key"))
+    return each.select("*", F.posexplode(F.array(*keys)).alias("mask", "key"))
 
 
 def _around(seeds: Seeds, prefix: str) -> list[Column]:
@@ -75,31 +82,72 @@ def _verified(seeds: Seeds) -> tuple[Column, Column]:
     return same, F.when(F.size("same") >= seeds.window, F.exists(places, agree)).otherwise(whole)
 
 
+def _choices(spark: SparkSession, seeds: Seeds) -> DataFrame:
+    """(mask, choice, first, end, whole, places): which tokens around a hit of a mask make an overlap if they agree.
+
+    Places count from the hit's first token; the tokens from ``first`` to ``end`` must be there on both sides.  For each
+    window that holds the hit these are all its tokens but two that the mask ignores or doesn't reach; for items
+    shorter than a window (``whole``) all of the item's, which is then just as long.
+    """
+    out: list[tuple[int, int, int, bool, list[int]]] = []
+    for mask, own in enumerate(seeds.masks):
+        for first in range(-seeds.margin, 1):
+            window = range(first, first + seeds.window)
+            free = [p for p in window if p not in own]
+            for gone in combinations(free, seeds.substitutions):
+                out.append((mask, first, window.stop, False, [p for p in window if p not in gone]))
+        for size in range(seeds.span, seeds.window):
+            out += [(mask, first, first + size, True, list(range(first, first + size))) for first in range(seeds.span - size, 1)]
+    rows = [(mask, k, *rest) for k, (mask, *rest) in enumerate(out)]
+    return spark.createDataFrame(rows, "mask int, choice int, first int, end int, whole boolean, places array<int>")
+
+
+def _chosen(rows: DataFrame, choices: DataFrame, prefix: str) -> DataFrame:
+    """``rows`` (mask and the tokens around a hit), once for each choice that they have the tokens for, with its hash ``chosen``."""
+    near, before = F.col(f"{prefix}_near"), F.col(f"{prefix}_before")
+    fits = (before + F.col("first") >= 0) & (before + F.col("end") <= F.size(near))
+    if prefix == "test":  # what is shorter than a window is a whole item
+        fits &= F.col("whole") == (F.size(near) < F.col("least"))
+        fits &= ~F.col("whole") | (F.size(near) == F.col("end") - F.col("first"))
+    tokens = F.transform("places", lambda p: F.get(near, before + p))
+    return rows.join(F.broadcast(choices), "mask").where(fits).select(*rows.columns, F.xxhash64("choice", tokens).alias("chosen"))
+
+
 def contaminated(docs: DataFrame, tests: DataFrame, seeds: Seeds = Seeds()) -> DataFrame:
     """(doc_id, text_hash, n_hits, item_id) of the documents that overlap a test item.
 
     ``docs`` has doc_id and text, ``tests`` item_id and text.  ``n_hits`` counts the verified hits: places of the
-    document and masks, each with as many distinct test passages as it overlaps there.  ``item_id`` is the
+    document and masks, whatever number of passages it overlaps there.  ``item_id`` is the
     smallest item with a hit.  Null and empty texts overlap with nothing, nor do items of fewer tokens than a
     mask spans, or documents of fewer than ``window`` but for whole short items: so little can be chance.
     ``text_hash`` is that of the text, null as empty; rows equal in doc_id and text are one document, whose
     hits count once.  Very long texts are searched whole.
     """
     items = tests.select("item_id", token_hashes(text_of()).alias("h"))
-    passages = _windows(items, seeds).select("key", "item_id", *_around(seeds, "test"))
-    passages = passages.groupBy("key", "test_near", "test_before").agg(F.min("item_id").alias("item_id"))
-    keys = passages.select("key").distinct()
+    passages = _windows(items, seeds).select("key", "mask", "item_id", *_around(seeds, "test"))
+    passages = passages.groupBy("key", "mask", "test_near", "test_before").agg(F.min("item_id").alias("item_id"))
+    keys = passages.groupBy("key").agg((F.count("*") > seeds.crowd).alias("crowded"))
+    n, crowded = keys.agg(F.count("*"), F.coalesce(F.bool_or("crowded"), F.lit(False))).first()
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), token_hashes(text_of()).alias("h"))
     windows = _windows(rows, seeds)
-    if keys.limit(seeds.broadcast_rows + 1).count() <= seeds.broadcast_rows:
-        hits = windows.join(F.broadcast(keys), "key", "left_semi").select(*_DOC, "at", "key", *_around(seeds, "doc"))
+    if n <= seeds.broadcast_rows:
+        hits = windows.join(F.broadcast(keys), "key").select(*_DOC, "at", "mask", "key", "crowded", *_around(seeds, "doc"))
     else:
-        places = windows.join(keys, "key", "left_semi").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), "at", "key").distinct()
+        places = windows.join(keys, "key").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), "at", "mask", "key", "crowded").distinct()
         same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash"))
-        hits = places.join(rows, same).select(*_DOC, "at", "key", *_around(seeds, "doc"))
+        hits = places.join(rows, same).select(*_DOC, "at", "mask", "key", "crowded", *_around(seeds, "doc"))
+    out = (*_DOC, "at", "mask", "item_id")
     same, verified = _verified(seeds)
-    pairs = hits.join(passages, "key").withColumn("same", same).where(verified)
-    pairs = pairs.select(*_DOC, "at", "key", "item_id", F.xxhash64("test_near", "test_before").alias("passage")).distinct()
+    if not crowded:
+        pairs = hits.join(passages.drop("mask"), "key").withColumn("same", same).where(verified).select(*out)
+    else:
+        hits, marked = stored(hits, "hits"), passages.join(keys, "key")
+        few = hits.where("not crowded").join(marked.where("not crowded").drop("mask", "crowded"), "key").withColumn("same", same).where(verified)
+        choices = _choices(docs.sparkSession, seeds).withColumn("least", F.lit(seeds.window))
+        told = _chosen(marked.where("crowded"), choices, "test").groupBy("chosen").agg(F.min("item_id").alias("item_id"))
+        many = _chosen(hits.where("crowded").drop("key"), choices, "doc").join(told, "chosen")
+        pairs = few.select(*out).unionByName(many.select(*out))
+    pairs = pairs.groupBy(*_DOC, "at", "mask").agg(F.min("item_id").alias("item_id"))
     return pairs.groupBy(*_DOC).agg(F.count("*").alias("n_hits"), F.min("item_id").alias("item_id"))
 
 

@@ -174,3 +174,29 @@ def test_short_items_match_whole_and_unchanged_only(spark):
     for seeds in (decontaminate.Seeds(), decontaminate.Seeds(broadcast_rows=0)):
         got = {r.doc_id: r.item_id for r in decontaminate.flag(docs, tests, seeds).collect()}
         assert got == {0: 1, 1: 1, 2: None, 3: None, 4: None}
+
+
+def test_templates_are_joined_not_paired(spark, capsys):
+    """Items that share a template: the join of choices finds what laying side by side finds, and makes no row for each pair."""
+    import random
+
+    draw = random.Random(12)
+    word = lambda: f"w{draw.randrange(40)}"
+    template = [f"t{k}" for k in range(9)]
+    items = [[*(word() for _ in range(draw.randrange(6))), *template, *(word() for _ in range(draw.randrange(8)))] for _ in range(90)]
+    items += [template, template[:8], [*template, "x"], [f"u{k}" for k in range(30)]]
+
+    def varied(tokens):
+        out = list(tokens)
+        for _ in range(draw.randrange(4)):
+            out[draw.randrange(len(out))] = word()
+        return [*(word() for _ in range(draw.randrange(9))), *out, *(word() for _ in range(draw.randrange(9)))]
+
+    texts = [varied(draw.choice(items)) for _ in range(160)] + [template, template[:8], [*template, "x"], [f"u{k}" for k in range(6, 25)], [word() for _ in range(40)]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = []
+    for seeds in (decontaminate.Seeds(crowd=10**6), decontaminate.Seeds(crowd=4), decontaminate.Seeds(crowd=4, broadcast_rows=0)):
+        found.append({r.doc_id: (r.n_hits, r.item_id) for r in decontaminate.flag(docs, tests, seeds).collect()})
+    assert found[0] == found[1] == found[2]
+    assert 40 < sum(n > 0 for n, _ in found[0].values()) < len(texts) - 10
