@@ -119,6 +119,23 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def shard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 must say of each text, whether equal texts share a shard, and whether its shard's slots count from 0 without a gap."""
+    rows = op10_sharding(spark, sf_dir)
+    groups = rows.groupBy("text_crc32", "size").agg((F.count_distinct("shard") == 1).alias("together"))
+    n, last = F.count("*"), F.max("slot") + 1
+    shards = rows.groupBy("shard").agg(((n == last) & (n == F.count_distinct("slot")) & (F.min("slot") == 0)).alias("gapless"))
+    both = rows.join(groups, ["text_crc32", "size"]).join(shards, "shard")
+    return both.select("doc_id", "size", "text_crc32", "law", "together", "gapless", (F.col("shard").between(0, 39) & F.col("grown_shard").isNull()).alias("in_range"))
+
+
+def held_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 must say of each row beside its score, and whether the score is one and fits the prediction."""
+    rows = op6_quality_classifier(spark, sf_dir)
+    fits = F.col("score").between(0, 1) & ((F.col("score") >= 0.7).cast("int") == F.col("predicted"))
+    return rows.select("doc_id", "held_out", fits.alias("fits"))
+
+
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often op12's patterns match, and whether anything was added to them."""
     rows = op12_secret_scan(spark, sf_dir)
@@ -148,6 +165,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_counts": quality_counts,
     "language_base": language_base,
     "secret_counts": secret_counts,
+    "shard_facts": shard_facts,
+    "held_out_rows": held_out_rows,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -219,6 +238,13 @@ ORACLES: dict[str, str] = {
                (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
                coalesce(n, 0)::bigint AS n_repeat_words, len(words) < 20 OR 100 * coalesce(n, 0) > 30 * len(words) AS base_failed
         FROM texts JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    "held_out_rows": f"SELECT doc_id, {_CRC} % 4 = 2 AS held_out, true AS fits FROM documents",
+    "shard_facts": """
+        WITH tables AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, n::bigint)) AS crc),
+        texts AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents)
+        SELECT doc_id, (n + 16)::bigint AS size, 'bytes' AS law, true AS together, true AS gapless, true AS in_range,
+               xor(4294967295, list_reduce(list_transform(range(n), lambda i: ('0x' || substring(h, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::bigint)) AS text_crc32
+        FROM texts, tables""",
     "secret_counts": """
         WITH found AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS a,
                               regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+') AS k, regexp_extract_all(coalesce(text, ''), '[0-9a-f]+') AS h FROM documents)
