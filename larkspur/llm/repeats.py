@@ -12,13 +12,16 @@ once, so of a passage that a third of all documents hold a piece of input sends
 sketch has ``HOT`` times or more can have too many windows for one task: these travel singly, each to where equal
 ones meet, and there only a bounded number is held.
 
-Only the sketch's "twice or more" and "hot" bits are broadcast, at most 4 rows of ``MOST_COUNTERS`` bits; a corpus
-beyond what these tell apart sends more windows to the exact grouping and gives the same result.
+Up to ``direct_bytes`` of text the sketch's "twice or more" and "hot" bits are broadcast, 4 rows of
+``MOST_COUNTERS`` bits at most.  Beyond, its counters go on growing with the corpus, and stay where they are: texts
+are dealt into blocks, written once as a table bucketed by block, and each block sends the slots of its anchors to the slices of the
+sketch that these are in and gets their bits back in the same order.  Either way gives the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._sql import text_of
+from ._store import bucketed, stored
 from ._text import U, Words, mix, pieces, seeded, texts_of, window_hashes, words_of
 
 WINDOW, GRAM = 35, 24  # a mask has a bit for each place of a gram in a window: at most 31
@@ -128,51 +132,140 @@ def _found_twice(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _RUNS = "gram long, doc_id long, text_hash long, pos int, mask int, windows binary"
 
 
-def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """Runs of windows with one anchor that is estimated to occur twice or more.
+def _runs(words: Words, begins: tuple[np.ndarray, np.ndarray, np.ndarray], likely: np.ndarray, hot: np.ndarray, ids: pa.Array, keys: pa.Array, window: int) -> pa.RecordBatch:
+    """Runs of windows with one anchor that is estimated to occur twice or more, in some texts with these ids.
 
-    ``pos`` is the run's first window, ``mask`` has a bit for each that the task has found twice itself,
+    ``pos`` is the run's first window, ``mask`` has a bit for each that is found twice here already,
     ``windows`` their hashes; it is empty, and ``gram`` any value, where no other task needs to see them.
     A window of a hot anchor is a run of its own, with another hash of its words as ``gram``.
     """
+    starts, anchor, grams = begins
+    at, anchor, hot = starts[likely], anchor[likely], hot[likely]
+    hashes = window_hashes(words.hashes(11), window)[at]
+    # a hot anchor's windows go by a hash of their own, another than that which they are compared by
+    alone = window_hashes(words.hashes(12), window)[at] if hot.any() else hashes
+    twice, first = _found_twice(grams[anchor], hashes)
+    edges = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | hot[1:]]))
+    size = np.diff(np.concatenate([edges, [len(at)]]))
+    mask = np.bitwise_or.reduceat(twice.astype(np.int32) << (at - np.repeat(at[edges], size)).astype(np.int32), edges)
+    send = np.logical_or.reduceat(~twice | first, edges)
+    key = np.where(hot[edges], alone[edges], grams[anchor[edges]])
+    key = np.where(send, key, mix(at[edges].astype(U))).view(np.int64)
+    text = np.searchsorted(words.first, at[edges], side="right") - 1
+    which = pa.array(text)
+    place = (at[edges] - words.first[text]).astype(np.int32)
+    sent_windows = _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))
+    columns = [pa.array(key), ids.take(which), keys.take(which), pa.array(place), pa.array(mask), sent_windows]
+    return pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
+
+
+def likely_windows(docs: DataFrame, bits: np.ndarray, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The runs of all texts, by bits that every task holds; see _runs."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = sent.value
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_hash")
-            for k, _, data, offsets in pieces(*texts_of(batch.column("text")), PIECE):
+            for k, j, data, offsets in pieces(*texts_of(batch.column("text")), PIECE):
                 words = words_of(data, offsets)
-                starts, anchor, grams = _windows(words, window, gram)
-                if not len(starts):
-                    continue
-                likely, hot = np.ones(len(starts), bool), np.ones(len(starts), bool)
-                for twice_bits, hot_bits, slots in zip(*limits, _slots(grams[anchor], 8 * limits.shape[2]), strict=True):
+                begins = _windows(words, window, gram)
+                _, anchor, grams = begins
+                likely, hot = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
+                for twice_bits, hot_bits, slots in zip(*limits, _slots(grams[anchor], 8 * limits.shape[2]) if len(anchor) else (), strict=False):
                     likely &= _test(twice_bits, slots)
                     hot &= _test(hot_bits, slots)
-                at, anchor, hot = starts[likely], anchor[likely], hot[likely]
-                if not len(at):
-                    continue
-                hashes = window_hashes(words.hashes(11), window)[at]
-                # a hot anchor's windows go by a hash of their own, another than that which they are compared by
-                alone = window_hashes(words.hashes(12), window)[at] if hot.any() else hashes
-                twice, first = _found_twice(grams[anchor], hashes)
-                edges = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | hot[1:]]))
-                size = np.diff(np.concatenate([edges, [len(at)]]))
-                mask = np.bitwise_or.reduceat(twice.astype(np.int32) << (at - np.repeat(at[edges], size)).astype(np.int32), edges)
-                send = np.logical_or.reduceat(~twice | first, edges)
-                key = np.where(hot[edges], alone[edges], grams[anchor[edges]])
-                key = np.where(send, key, mix(at[edges].astype(U))).view(np.int64)
-                text = np.searchsorted(words.first, at[edges], side="right") - 1
-                which = pa.array(k + text)
-                place = (at[edges] - words.first[text]).astype(np.int32)
-                sent_windows = _binary(hashes[np.repeat(send, size)], np.where(send, size, 0))
-                columns = [pa.array(key), ids.take(which), keys.take(which), pa.array(place), pa.array(mask), sent_windows]
-                yield pa.RecordBatch.from_arrays(columns, names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])
+                if likely.any():
+                    yield _runs(words, begins, likely, hot, ids.slice(k, j - k), keys.slice(k, j - k), window)
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _RUNS)
 
 
+@dataclass(frozen=True)
+class Dealt:
+    """How texts and counters are dealt where the sketch isn't broadcast; both grow with the corpus, so that the rows between them, one for each pair, stay few."""
+
+    block_bytes: int
+    slice_bits: int
+    counter_bits: int
+
+    @classmethod
+    def of(cls, total: int) -> Dealt:
+        steps = max(0, (total >> 37).bit_length() // 2)  # from 128 GB on, twice as large each time the corpus is four times as large
+        return cls(min(64, 8 << steps) << 20, min(27, 22 + steps), max(22, int(total / 8).bit_length()))
+
+
+def _anchor_slots(column: pa.Array, window: int, gram: int, dealt: Dealt) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of the sketch the distinct slots of a block's anchors, in order, and how often each is one."""
+    found: list[np.ndarray] = []
+    for _, _, data, offsets in pieces(*texts_of(column), PIECE):
+        _, anchor, grams = _windows(words_of(data, offsets), window, gram)
+        if len(anchor):
+            found.append(grams[np.unique(anchor)])
+    anchors = np.concatenate(found) if found else np.zeros(0, U)
+    return [np.unique(slots, return_counts=True) for slots in _slots(anchors, 1 << dealt.counter_bits)]
+
+
+def dealt_windows(docs: DataFrame, dealt: Dealt, total: int, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """The runs of all texts, by a sketch whose slices stay on the executors; see _runs."""
+    n = max(1, -(-total // dealt.block_bytes))
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n))
+    blocks = bucketed(docs.select("doc_id", "text", "text_hash", place.alias("block")), "repeats", "block", min(n, 20_000))
+    hot_times, bits = HOT, dealt.slice_bits
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        for row, (slots, times) in enumerate(_anchor_slots(table.column("text"), window, gram, dealt)):
+            part = slots >> bits
+            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = (slots[a:b] & ((1 << bits) - 1)).astype(np.int32).tobytes()
+                rows.append((row << 40 | int(part[a]), key[0].as_py(), own, np.minimum(times[a:b], 0xFFFF).astype(np.uint16).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "block", "slots", "times"])
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << bits, np.int32)
+        slots = [np.frombuffer(x, np.int32) for x in table.column("slots").to_pylist()]
+        for at, times in zip(slots, table.column("times").to_pylist(), strict=True):
+            total[at] = np.minimum(total[at] + np.frombuffer(times, np.uint16), hot_times)
+        said = [[np.packbits(total[at] >= limit).tobytes() for at in slots] for limit in (2, hot_times)]
+        return pa.table([table.column("block"), table.column("slice"), pa.array(said[0], pa.binary()), pa.array(said[1], pa.binary()), pa.array([len(at) for at in slots], pa.int32())], ["block", "slice", "twice", "hot", "n"])
+
+    def find(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        slices = answers.column("slice").to_numpy()
+        order = np.argsort(slices)
+        row, sizes = slices[order] >> 40, answers.column("n").to_numpy()[order]
+        flags = []
+        for name in ("twice", "hot"):
+            packed = answers.column(name).to_pylist()
+            each = [np.unpackbits(np.frombuffer(packed[k], np.uint8), count=n) for k, n in zip(order.tolist(), sizes.tolist(), strict=True)]
+            flags.append([np.concatenate([x for x, r in zip(each, row, strict=True) if r == which] or [np.zeros(0, np.uint8)]) == 1 for which in range(len(_SEEDS))])
+        known = _anchor_slots(texts.column("text"), window, gram, dealt)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        out = [pa.RecordBatch.from_arrays([pa.array([], t) for t in kinds], names=["gram", "doc_id", "text_hash", "pos", "mask", "windows"])]
+        ids, keys = (texts.column(c).combine_chunks() for c in ("doc_id", "text_hash"))
+        for k, j, data, offsets in pieces(*texts_of(texts.column("text")), PIECE):
+            words = words_of(data, offsets)
+            begins = _windows(words, window, gram)
+            _, anchor, grams = begins
+            likely, hot = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
+            for which, slots in enumerate(_slots(grams[anchor], 1 << dealt.counter_bits) if len(anchor) else ()):
+                at = np.searchsorted(known[which][0], slots)
+                likely &= flags[0][which][at]
+                hot &= flags[1][which][at]
+            if likely.any():
+                out.append(_runs(words, begins, likely, hot, ids.slice(k, j - k), keys.slice(k, j - k), window))
+        return pa.Table.from_batches(out)
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "slice long, block long, slots binary, times binary")
+    tasks = max(1, min(2 << max(0, dealt.counter_bits - bits), 20_000))
+    answers = asked.repartition(tasks, "slice").groupBy("slice").applyInArrow(count, "block long, slice long, twice binary, hot binary, n int")
+    answers = stored(answers, "repeated-slots")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(find, _RUNS)
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The masks of runs, sorted by gram, with the windows that other runs hold as well.
 
@@ -217,7 +310,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, direct_bytes: int = 4 << 30) -> DataFrame:
     """doc_id, n_words, n_removed and text (the kept words joined by a blank) of each row of ``docs``.
 
     Each word covered by a window of ``window`` words whose words also stand in a row anywhere else, in
@@ -226,8 +319,11 @@ def drop_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(total / 8).bit_length()))
-    runs = likely_windows(docs, sketch(docs, counters, window=window, gram=gram), window=window, gram=gram)
+    if total <= direct_bytes:
+        counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(total / 8).bit_length()))
+        runs = likely_windows(docs, sketch(docs, counters, window=window, gram=gram), window=window, gram=gram)
+    else:
+        runs = dealt_windows(docs, Dealt.of(total), total, window=window, gram=gram)
     answers = runs.repartition("gram").sortWithinPartitions("gram").mapInArrow(_answer, "doc_id long, text_hash long, starts long")
     covered = answers.groupBy("doc_id", "text_hash").agg(F.collect_set("starts").alias("starts"))
     covered = covered.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "starts")
