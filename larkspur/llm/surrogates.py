@@ -21,7 +21,8 @@ Distinctness is checked, not assumed: the distinct entities of the corpus are gr
 all but one of those that collide, and any that hit a real entity, try again until none does.  A format
 with few values may have no free one, so from attempt NARROW on surrogates are longer (an IP address moves
 to a larger block), twice as much with each attempt: the draw ends whatever the corpus holds.
-Surrogates of the first attempt need no table; only the few entities beyond it are joined to documents.
+Texts get the surrogates of the first attempt as they are searched; only those that hold one of the few entities beyond it
+are looked at again.
 """
 
 from __future__ import annotations
@@ -281,8 +282,14 @@ def _named(text: str, people: Iterable[Person]) -> Iterator[tuple[int, int, str]
             yield m.start() + part.start(), m.start() + part.end(), kind
 
 
-def mentions(text: str, people: Iterable[Person] = ()) -> list[tuple[int, int, str]]:
-    """Begin, end and kind of the entities of a text, in order, not overlapping; of names those of ``people``.
+def own_people(text: str) -> list[Person]:
+    """The persons that a text addresses, as far as the text alone and the fixed lists tell."""
+    fixed = lambda name: frozenset(name.lower().split()) & (_NO_NAMES | _WORD_NAMES)
+    return [Person(name, gender, True, fixed(name)) for name, gender, doubtful in sorted(addressed(text)) if not (doubtful and fixed(name))]
+
+
+def mentions(text: str, people: Iterable[Person] | None = None) -> list[tuple[int, int, str]]:
+    """Begin, end and kind of the entities of a text, in order, not overlapping; of names those of ``people``, or else of own_people.
 
     Names are ``name:surname``, ``name:f`` or ``name:m``, in capitals too.  A blank to fill in, as ``Password: ________``, has
     nothing to replace and is no entity.
@@ -298,7 +305,7 @@ def mentions(text: str, people: Iterable[Person] = ()) -> list[tuple[int, int, s
             found.append((m.start(), m.end(), kind))
     taken = iter([*found, (len(text) + 1, len(text) + 1, "")])
     begin, end, _ = next(taken)
-    for name in _named(text, people):
+    for name in _named(text, own_people(text) if people is None else people):
         while end <= name[0]:
             begin, end, _ = next(taken)
         if name[1] <= begin:
@@ -306,7 +313,7 @@ def mentions(text: str, people: Iterable[Person] = ()) -> list[tuple[int, int, s
     return sorted(found)
 
 
-def replaced(text: str, surrogate_of: Callable[[Entity], str], people: Iterable[Person] = ()) -> tuple[str, list[str]]:
+def replaced(text: str, surrogate_of: Callable[[Entity], str], people: Iterable[Person] | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds of its mentions."""
     out, at, kinds = [], 0, []
     for begin, end, kind in mentions(text, people):
@@ -338,12 +345,32 @@ def _people(column: pa.Array) -> list[list[Person]]:
     return [[Person(x["name"], x["gender"], x["own"], frozenset(x["words"])) for x in r or ()] for r in column.to_pylist()]
 
 
-def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = {"doc_id": pa.int64(), "text_hash": pa.int64(), "kind": pa.string(), "value": pa.string()}
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), _people(batch.column("people")), strict=True)
-        found = ((d, h, k, _canonical(k, t[a:b])) for d, h, t, r in rows for a, b, k in mentions(t, r))
-        yield _rows(schema, dict.fromkeys(found))
+_REPLACED = "doc_id long, text_hash long, text string, n_entities long, kinds array<string>, entities array<struct<kind:string,value:string>>"
+
+
+def _replace(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts with surrogates, of the attempts that ``later`` names and else the first, and the entities that they had."""
+    entity = pa.struct([("kind", pa.string()), ("value", pa.string())])
+    schema = {"doc_id": pa.int64(), "text_hash": pa.int64(), "text": pa.string(), "n_entities": pa.int64(), "kinds": pa.list_(pa.string()), "entities": pa.list_(entity)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "none", "later"))
+            for doc_id, text_hash, text, none, later, people in zip(*columns, _people(batch.column("people")), strict=True):
+                attempts = {(x["kind"], x["value"]): x["attempt"] for x in later or ()}
+                seen: dict[Entity, str] = {}
+
+                def of(e: Entity) -> str:
+                    if e not in seen:  # noqa: B023
+                        seen[e] = surrogate(key, *e, attempts.get(e, 0))  # noqa: B023
+                    return seen[e]  # noqa: B023
+
+                new, found = replaced(text, of, people)
+                out.append((doc_id, text_hash, None if none else new, len(found), sorted(set(found)), [{"kind": k, "value": v} for k, v in seen]))
+            yield _rows(schema, out)
+
+    return run
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
@@ -369,13 +396,14 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         drawn = stored(drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti").unionByName(redrawn), "surrogates")
 
 
-def _joined(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
-    """``rows`` (doc_id, text_hash and more) with the column ``value`` of ``found``, one row a document."""
-    found = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), value)
+def _joined(rows: DataFrame, found: DataFrame, value: str | None, how: str = "left") -> DataFrame:
+    """``rows`` (doc_id, text_hash and more) joined to ``found``, one row a document, for its column ``value``."""
+    found = found.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), *([value] if value else []))
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
-    return rows.join(found, same, "left").drop("of_id", "of_hash")
+    return rows.join(found, same, how).drop("of_id", "of_hash")
 
 
+_LATER = "array<struct<kind:string,value:string,attempt:int>>"
 _PEOPLE = "array<struct<name:string,gender:string,own:boolean,words:array<string>>>"
 _BLANK = "\\s+"
 
@@ -428,23 +456,15 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
         raise ValueError("surrogates need a key")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"), F.col("text").isNull().alias("none"))
     rows = known_names(rows)
-    seen = stored(rows.mapInArrow(_entities, "doc_id long, text_hash long, kind string, value string"), "entities")
+    rows = rows.select("doc_id", "text_hash", "text", "none", "people", F.lit(None).cast(_LATER).alias("later"))
+    first = stored(rows.mapInArrow(_replace(key), _REPLACED), "replaced")
+    seen = first.select("doc_id", "text_hash", F.explode("entities").alias("e")).select("doc_id", "text_hash", "e.*")
     later = stored(assign(seen.select("kind", "value").distinct(), key).where("attempt > 0"), "later")
+    out = ("doc_id", "text", "n_entities", "kinds")
     if later.isEmpty():
-        rows = rows.withColumn("later", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
-    else:
-        by_doc = seen.join(later, ["kind", "value"]).groupBy("doc_id", "text_hash")
-        rows = _joined(rows, by_doc.agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("later")), "later")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = {"doc_id": pa.int64(), "text": pa.string(), "n_entities": pa.int64(), "kinds": pa.list_(pa.string())}
-        for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "text", "none", "later"))
-            for doc_id, text, none, later_of, people in zip(*columns, _people(batch.column("people")), strict=True):
-                attempts = {(x["kind"], x["value"]): x["attempt"] for x in later_of or ()}
-                new, found = replaced(text, lambda e: surrogate(key, *e, attempts.get(e, 0)), people)  # noqa: B023
-                out.append((doc_id, None if none else new, len(found), sorted(set(found))))
-            yield _rows(schema, out)
-
-    return rows.select("doc_id", "text", "none", "later", "people").mapInArrow(run, "doc_id long, text string, n_entities long, kinds array<string>")
+        return first.select(*out)
+    # only the documents that hold an entity beyond the first attempt are looked at again
+    by_doc = seen.join(later, ["kind", "value"]).groupBy("doc_id", "text_hash")
+    by_doc = stored(by_doc.agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("later")), "again")
+    again = _joined(rows.drop("later"), by_doc, "later", "inner").mapInArrow(_replace(key), _REPLACED)
+    return _joined(first, by_doc, None, "left_anti").select(*out).unionByName(again.select(*out))
