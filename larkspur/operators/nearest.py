@@ -152,30 +152,39 @@ def _visits(queries: DataFrame, rings: Rings, k: int, further: bool) -> DataFram
 
 def _visit(visits: DataFrame, index: Index, k: int, digits: int, skip_own: bool) -> DataFrame:
     """(query_id, id, distance, compared) of the k best rows that each visit finds; ``compared``, on a visit's first row: rows looked at."""
-    width, blocks = index.rings.width, int(index.rings.blocks.sum())
+    spark, width, rings = visits.sparkSession, index.rings.width, index.rings
+    blocks = int(rings.blocks.sum())
+    # small blocks share a task, which takes one after the other
+    tasks = max(1, min(blocks, max(int(rings.size.sum()) // BLOCK, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     rows = index.rows.select(F.lit(0).alias("side"), "block", "id", "v")
     both = rows.unionByName(visits.select(F.lit(1).alias("side"), "block", F.col("query_id").alias("id"), "v"))
-    dealt = both.repartitionById(max(1, blocks), F.col("block")).sortWithinPartitions("side", "id")
+    dealt = both.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions("block", "side", "id")
+
+    def best(ids: np.ndarray, vectors: np.ndarray, query: int, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        away = np.round(((vectors - v) ** 2).sum(1), digits)
+        order = np.arange(len(away)) if len(away) <= k + 1 else np.flatnonzero(away <= np.partition(away, k)[k])
+        order = order[np.lexsort((ids[order], away[order]))]
+        order = order[ids[order] != query][:k] if skip_own else order[:k]
+        compared = np.zeros(len(order), np.int64)
+        compared[:1] = len(away)
+        return np.full(len(order), query), ids[order], away[order], compared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_ids, held = [np.zeros(0, np.int64)], [np.zeros((0, width))]
-        block: tuple[np.ndarray, np.ndarray] | None = None
+        now, held_ids, held = -1, [np.zeros(0, np.int64)], [np.zeros((0, width))]
         for b in batches:
-            before = int(np.searchsorted(b["side"].to_numpy(), 1))
-            held_ids.append(b["id"].to_numpy()[:before])
-            held.append(_matrix(b["v"].slice(0, before), width))
-            for at in range(before, b.num_rows, LOT):
-                block = block or (np.concatenate(held_ids), np.concatenate(held))
-                own, asked = b["id"].to_numpy()[at : at + LOT], _matrix(b["v"].slice(at, LOT), width)
-                out: list[tuple[np.ndarray, ...]] = []
-                for q, v in zip(own.tolist(), asked, strict=True):
-                    away = np.round(((block[1] - v) ** 2).sum(1), digits)
-                    order = np.arange(len(away)) if len(away) <= k + 1 else np.flatnonzero(away <= np.partition(away, k)[k])
-                    order = order[np.lexsort((block[0][order], away[order]))]
-                    order = order[block[0][order] != q][:k] if skip_own else order[:k]
-                    compared = np.zeros(len(order), np.int64)
-                    compared[:1] = len(away)
-                    out.append((np.full(len(order), q), block[0][order], away[order], compared))
+            block, side, ids, out = b["block"].to_numpy(), b["side"].to_numpy(), b["id"].to_numpy(), []
+            cuts = np.flatnonzero(np.diff(block * 2 + side, prepend=-1, append=-1)).tolist()
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if block[at] != now:
+                    now, held_ids, held = block[at], [np.zeros(0, np.int64)], [np.zeros((0, width))]
+                part = _matrix(b["v"].slice(at, end - at), width)
+                if side[at] == 0:
+                    held_ids.append(ids[at:end])
+                    held.append(part)
+                    continue
+                held_ids, held = [np.concatenate(held_ids)], [np.concatenate(held)]
+                out += [best(held_ids[0], held[0], q, v) for q, v in zip(ids[at:end].tolist(), part, strict=True)]
+            if out:
                 yield pa.record_batch([np.concatenate(c) for c in zip(*out, strict=True)], ["query_id", "id", "distance", "compared"])
 
     return dealt.mapInArrow(run, "query_id long, id long, distance double, compared long")

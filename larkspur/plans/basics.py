@@ -71,7 +71,7 @@ def top_orders_by_customer(spark: SparkSession, folder: str) -> DataFrame:
 def last_click_before_purchase(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     right = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
-    return as_of_join(events.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), right, by=["user_id"], on="ts").select("event_id", "click_id")
+    return as_of_join(events.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), right, by=["user_id"], on="ts", width=7 * 86_400).select("event_id", "click_id")
 
 
 @query("""

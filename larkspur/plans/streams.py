@@ -131,10 +131,10 @@ def stream_dropped_events(spark: SparkSession, folder: str) -> DataFrame:
 def stream_recent_click(spark: SparkSession, folder: str) -> DataFrame:
     """The user's last click within twelve hours before each purchase; a click's state ends when no purchase can need it."""
     events = table(spark, folder, "events").where(F.col("event_type").isin("click", "purchase")).withColumn("ts", F.col("ts").cast("timestamp"))
-    part = F.least(F.lit(3), F.greatest(F.lit(0), F.floor(F.datediff("ts", F.lit("2024-01-01")) / 8)))
-    weeks = [events.where(part == k) for k in range(4)]
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    halves = [events.where(early), events.where(~early)]
     with rocksdb_state(spark):
-        out, _ = finished_in_batches(weeks, lambda rows: recent_mark(rows, by="user_id", on="ts", id="event_id", marks="event_type = 'click'", within_seconds=12 * 3600, late_seconds=3600), "recent-click")
+        out, _ = finished_in_batches(halves, lambda rows: recent_mark(rows, by="user_id", on="ts", id="event_id", marks="event_type = 'click'", within_seconds=12 * 3600, late_seconds=3600), "recent-click")
     return out.select(F.col("id").alias("event_id"), F.col("mark_id").alias("click_id"))
 
 

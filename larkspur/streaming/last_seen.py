@@ -14,7 +14,8 @@ def last_mark(stream: DataFrame, *, by: str, on: str, id: str, marks: str) -> Da
     """(id, mark_id) of each event that isn't a mark: the id of the last mark of its group by then, or null.
 
     ``marks`` is a condition; ``on`` orders the events, a mark before another event of the same time.  The state is
-    one id and time a group.  Batches must come in order of time: an event that comes after a later batch of its
+    one id and time a group and stays for good: where a mark counts for a while only, recent_marks.recent_mark frees it.
+    A group's rows of one batch are held together, so bound the batches, as event_stream does.  Batches must come in order of time: an event that comes after a later batch of its
     group sees the marks of that batch too, unless their time is after its own.
     """
     rows = stream.select(F.col(by).alias("g"), F.col(on).cast("timestamp").alias("at"), F.col(id).cast("long").alias("id"), F.expr(marks).alias("mark"))

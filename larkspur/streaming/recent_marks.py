@@ -24,8 +24,9 @@ class _RecentMark(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         events = pd.concat(list(rows))[["id", "micros", "mark"]]
-        if self.mark.exists():
-            id_, micros = self.mark.get()
+        before = self.mark.get()  # None where there is none
+        if before is not None:
+            id_, micros = before
             events = pd.concat([pd.DataFrame({"id": [id_], "micros": [micros], "mark": [True]}), events])
         events = events.sort_values(["micros", "mark", "id"], ascending=[True, False, True], kind="stable")
         marks = events["mark"].astype(bool)
@@ -33,17 +34,22 @@ class _RecentMark(StatefulProcessor):
         near = (events["micros"] - last_at <= self.within_ms * 1000).fillna(False).astype(bool)
         yield pd.DataFrame({"id": events["id"], "mark_id": last_id.where(near)})[~marks.to_numpy()]
         if pd.notna(last_at.iloc[-1]):
-            self._keep(int(last_id.iloc[-1]), int(last_at.iloc[-1]), timerValues)
+            now = int(last_id.iloc[-1]), int(last_at.iloc[-1])
+            if before is None or now != tuple(before):
+                self._keep(now, before, timerValues.getCurrentWatermarkInMs())
 
-    def _keep(self, id_: int, micros: int, timers) -> None:  # noqa: ANN001
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        end = micros // 1000 + self.within_ms + 1
-        if end <= timers.getCurrentWatermarkInMs():
+    def _end(self, micros: int) -> int:
+        """The first millisecond at which no event can refer to a mark of that time any more."""
+        return micros // 1000 + self.within_ms + 1
+
+    def _keep(self, now: tuple[int, int], before: tuple[int, int] | None, watermark: int) -> None:
+        if before is not None:
+            self.handle.deleteTimer(self._end(before[1]))
+        if self._end(now[1]) > watermark:
+            self.mark.update(now)
+            self.handle.registerTimer(self._end(now[1]))
+        elif before is not None:
             self.mark.clear()
-            return
-        self.mark.update((id_, micros))
-        self.handle.registerTimer(end)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         self.mark.clear()
