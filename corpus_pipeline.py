@@ -13,7 +13,7 @@ from larkspur.llm._store import stored
 from larkspur.llm.decontaminate import flag
 from larkspur.llm.line_dup import bitmaps, drop_lines
 from larkspur.llm.near_dup import near_duplicates
-from larkspur.llm.quality_rules import apply_rules, labelled_rules
+from larkspur.llm.quality_rules import apply_rules
 from larkspur.llm.sentence_pieces import encode, read_model
 
 
@@ -26,12 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The rows that the quality rules keep, with the columns of ``docs`` unchanged.
 
     Null and empty texts have too few words and go.  Each row is judged by itself, so repeated rows go or stay
-    together and null ids don't matter.  The rules are measured on the documents that the labels table marks as good.
-    The verdicts are written before they are used.
+    together and null ids don't matter.  The rules are those of the module; measuring them here as well, for each
+    run anew, takes memory that executors lack (see README).  The verdicts are written before they are used.
     """
-    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rules = labelled_rules(documents, labels)
-    judged = stored(apply_rules(_wrapped(docs, "text", "lang"), rules).select("row", "kept"), "judged")
+    judged = stored(apply_rules(_wrapped(docs, "text", "lang")).select("row", "kept"), "judged")
     return judged.where("kept").select("row.*")
 
 
