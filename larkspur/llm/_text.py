@@ -6,6 +6,7 @@ in Python: a column's UTF-8 buffer is looked at as one array of bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,3 +126,10 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
             power = join_hashes(power[:-span], power[span:])
         span *= 2
     return done[:size]
+
+
+def give_back() -> None:
+    """Hands memory that a task has freed back to the machine: Spark keeps the worker, and the C library what it has freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

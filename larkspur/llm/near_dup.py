@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._text import U, join_hashes, mix, pieces, seeded, texts_of, window_hashes, words_of
+from ._text import U, give_back, join_hashes, mix, pieces, seeded, texts_of, window_hashes, words_of
 
 WORDS, BANDS, ROWS, NUMERATOR = 5, 64, 6, 75
 _EMPTY = U(2**64 - 1)
@@ -135,6 +135,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 [batch.column("doc_id").slice(k, j - k), pa.array(np.diff(first)), *(pa.array(np.ascontiguousarray(classes[:, c]).view(np.int64)) for c in (0, 1)), lists, _binary(low)],
                 names=["doc_id", "n_shingles", "class_a", "class_b", "bands", "sketch"],
             )
+    give_back()
 
 
 def _screen_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +253,7 @@ def _forest(kind: type, within: bool) -> Callable[[Iterator[pa.RecordBatch]], It
             held.append(batch.slice(cut))
         if held:
             yield flush(pa.Table.from_batches(held))
+        give_back()
 
     return run
 

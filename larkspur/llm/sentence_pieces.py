@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import Words, pieces, texts_of
+from ._text import Words, give_back, pieces, texts_of
 
 MARK = "▁"
 MODEL_BYTES = 64 << 20
@@ -258,8 +258,8 @@ def encode(docs: DataFrame, model: bytes, *, key: str = "doc_id") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
                 missing = part.is_null().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(k, j - k), pa.array(np.diff(ends)), lists, pa.array(decoded, pa.string(), mask=missing), pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids", "decoded", "parity"])
-        own.forget()  # Spark keeps the worker for other tasks
-        pa.default_memory_pool().release_unused()
+        own.forget()
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, decoded string, parity boolean")
