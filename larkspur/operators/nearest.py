@@ -28,7 +28,8 @@ from larkspur.sources.shared import written
 SAMPLE = 8192  # vectors that the centres are found on
 CELLS, RINGS = 128, 16  # centres, and rings a cell, at most
 BLOCK = 32_768  # rows a block at most, nearly
-LOT = 1024  # queries looked at together
+LOT = 128  # queries looked at together
+VISITS = 4096  # visits that leave a task together: each has a copy of its query's vector
 MARGIN = 1e-5  # by which a bound must be beyond a limit, far more than doubles err
 
 
@@ -145,7 +146,9 @@ def _visits(queries: DataFrame, rings: Rings, k: int, further: bool) -> DataFram
                 copies = rings.blocks[ring]
                 q, start = np.repeat(q, copies), np.repeat(rings.first[ring], copies)
                 block = start + np.arange(len(start)) - np.repeat(np.cumsum(copies) - copies, copies)
-                yield pa.record_batch([*(b[c].take(pa.array(q)) for c in ("query_id", "v", "limit")), pa.array(block.astype(np.int32))], ["query_id", "v", "limit", "block"])
+                for cut in range(0, len(q), VISITS):
+                    some = pa.array(q[cut : cut + VISITS])
+                    yield pa.record_batch([*(b[c].take(some) for c in ("query_id", "v", "limit")), pa.array(block[cut : cut + VISITS].astype(np.int32))], ["query_id", "v", "limit", "block"])
 
     return queries.mapInArrow(plan, "query_id long, v array<double>, limit double, block int")
 
